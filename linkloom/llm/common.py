@@ -72,7 +72,15 @@ def encode(text: str, enc, special: int) -> list[int]:
     return out
 
 
-def byte_batches(batches, column: str, limit: int = 32 << 20):
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id long, text) of docs, to be sent to Python in batches of few rows and bytes."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+
+
+def byte_batches(batches, column: str, limit: int = 8 << 20):
     """Cuts record batches so that the texts of one slice stay near limit bytes, whatever a batch holds."""
     for batch in batches:
         sizes = batch.column(column).nbytes if batch.num_rows else 0
