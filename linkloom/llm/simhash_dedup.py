@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_batches, components, popcount, work_table
+from .common import byte_batches, components, popcount, texts, work_table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of the three segments (start, width).
@@ -227,7 +227,7 @@ def near_links(fps: DataFrame, distance: int = 3, block: int = 8192) -> DataFram
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id (smallest id reachable; null ids lose to others) per row of docs."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = texts(docs, id_col, text_col)
     rows = work_table(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
     classes = work_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(near_links(classes, distance))
