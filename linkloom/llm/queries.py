@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, chat_format, exact_dedup, packing, simhash_dedup, token_counts, toxicity, url_filter
+from . import bpe_codec, chat_format, exact_dedup, packing, pii, simhash_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_entities(table(spark, sf_dir, "documents"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("_entities.kind"))), ",")
+    return out.select("doc_id", "text", F.size("_entities").alias("n_entities"), kinds.alias("kinds"))
+
+
 #: The rules of the URL query (host, path, action).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -54,7 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_exact_dedup, op6_url_filter, op7_bpe_codec, op9_simhash_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_exact_dedup, op5_pii_surrogates, op6_url_filter, op7_bpe_codec, op9_simhash_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
