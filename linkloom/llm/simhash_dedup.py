@@ -238,6 +238,185 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "fp")
 
 
-def keep_one_each(docs: DataFrame, width: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """See pipeline use: the rows of docs that near-duplicate grouping keeps, with all their columns."""
-    raise NotImplementedError
+# ---- grouping by shingle similarity -----------------------------------------------------------
+#
+# Texts whose sets of five-word shingles are alike to 0.8 share nearly all their words, so fingerprints
+# over distinct words differ in few bits where those over shingles differ in many. Two such coarse
+# fingerprints find the candidates by the same Golay keys; clusters of candidates are then checked
+# on their texts.
+
+#: Two coarse fingerprints (128 bits) of candidates differ in at most so many bits.
+COARSE_BITS = 20
+
+
+def coarse(text: str | None) -> tuple[int, int]:
+    """Two fingerprints over the distinct words of a text."""
+    from xxhash import xxh64_intdigest
+
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    if not words:
+        return 0, 0
+    h = np.array([xxh64_intdigest(w, 42) for w in words], "<u8")
+    g = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    out = []
+    for x in (h, g ^ (g >> np.uint64(32))):
+        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(x), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def _coarse(batches):
+    import pyarrow as pa
+
+    for b in byte_batches(batches, "text"):
+        got = [coarse(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["doc_id", "fa", "fb"])
+
+
+def _coarse_keyed(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        node, fa, fb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fa", "fb"))
+        for i in range(0, len(node), 20_000):
+            for which, f in enumerate((fa[i : i + 20_000], fb[i : i + 20_000])):
+                n, keys = golay_keys(f.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys | which << 27), *(pa.array(c[i : i + 20_000][n]) for c in (node, fa, fb))], names=["key", "node", "fa", "fb"])
+
+
+def _coarse_linked(bits: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for starts, (_, _, node, fa, fb) in runs_of(batches, 2):
+            fa, fb = fa.view(np.uint64), fb.view(np.uint64)
+            ends = np.append(starts[1:], len(node))
+            size = ends - starts
+            run_of = np.repeat(np.arange(len(starts)), size)
+            small, a, c = size <= 32, [], []
+            for lag in range(1, int(size[small].max(initial=1))):
+                i = np.nonzero((run_of[lag:] == run_of[:-lag]) & small[run_of[:-lag]])[0]
+                i = i[popcount(fa[i] ^ fa[i + lag]).astype(int) + popcount(fb[i] ^ fb[i + lag]) <= bits]
+                a.append(node[i])
+                c.append(node[i + lag])
+            for r in np.nonzero(~small)[0]:
+                left = np.arange(starts[r], ends[r])
+                while len(left) > 1:
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        x = queue.pop()
+                        hit = popcount(fa[left] ^ fa[x]).astype(int) + popcount(fb[left] ^ fb[x]) <= bits
+                        if hit.any():
+                            near = left[hit]
+                            a.append(np.repeat(node[x], len(near)))
+                            c.append(node[near])
+                            queue += near.tolist()
+                            left = left[~hit]
+            if a:
+                a, c = np.concatenate(a), np.concatenate(c)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["u", "v"])
+
+    return run
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that span all pairs of sets with at least this Jaccard similarity."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if both >= similarity * (sizes.sum() - both) else []
+    owner = np.repeat(np.arange(n), sizes)
+    values, at = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, first = owner[order], np.searchsorted(at[order], np.arange(len(values) + 1))
+    of = np.split(at, np.cumsum(sizes)[:-1]) if n else []
+    empty = sizes == 0
+    out, left = [], np.ones(n, bool)
+    while left.any():
+        queue = [int(np.nonzero(left)[0][0])]
+        left[queue[0]] = False
+        while queue and left.any():
+            x = queue.pop()
+            if empty[x]:
+                hit = left & empty
+            else:
+                both = np.zeros(n, np.int64)
+                for v in of[x]:
+                    both[owner[first[v] : first[v + 1]]] += 1  # a set holds a value once
+                hit = left & (both >= similarity * (sizes + sizes[x] - both))
+            near = np.nonzero(hit)[0]
+            out += [(x, int(y)) for y in near]
+            queue += near.tolist()
+            left[near] = False
+    return out
+
+
+def _verified(width: int, similarity: float):
+    def run(batches):
+        import pyarrow as pa
+
+        def close():
+            links = similar_forest(sets, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+
+        group, ids, sets = None, [], []
+        for b in byte_batches(batches, "text"):
+            for key, doc, text in zip(zip(b.column("cluster").to_pylist(), b.column("cell").to_pylist()), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if key != group:
+                    if len(ids) > 1:
+                        yield close()
+                    group, ids, sets = key, [], []
+                ids.append(doc)
+                sets.append(shingle_set(text, width))
+        if len(ids) > 1:
+            yield close()
+
+    return run
+
+
+def _cells(count, id_column, block: int):
+    """Cells (pairs of blocks) that a row of a group of count rows goes to; one cell for small groups."""
+    n = F.ceil(count / F.lit(block)).cast("int")
+    mine = F.pmod(F.xxhash64(id_column), n).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.least(o, mine) * 65536 + F.greatest(o, mine))
+    return F.explode(F.when(n <= 1, F.array(F.lit(0))).otherwise(cells))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1000, key_block: int = 8192) -> DataFrame:
+    """(node, root) of the documents that have a near duplicate: root is the smallest id of the group.
+
+    Documents are linked if the Jaccard similarity of their sets of word shingles is at least
+    `similarity`. Documents with a null id take no part.
+    """
+    docs = docs.where(docs[id_col].isNotNull())
+    body = texts(docs, id_col, text_col)
+    rows = body.mapInArrow(_coarse, "doc_id long, fa long, fb long").select("doc_id", F.xxhash64("fa", "fb").alias("node"), "fa", "fb")
+    rows = work_table(rows, "coarse")
+    nodes = work_table(rows.groupBy("node").agg(F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.count(F.lit(1)).alias("n")), "nodes")
+    keyed = nodes.select("node", "fa", "fb").mapInArrow(_coarse_keyed, "key long, node long, fa long, fb long")
+    hot = work_table(keyed.groupBy("key").count().where(F.col("count") > key_block), "hot_keys")
+    if hot.isEmpty():
+        dealt = keyed.select("key", F.lit(0).alias("cell"), "node", "fa", "fb")
+    else:
+        dealt = keyed.join(hot, "key", "left").select("key", _cells(F.coalesce("count", F.lit(1)), "node", key_block).alias("cell"), "node", "fa", "fb")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    roots = components(dealt.mapInArrow(_coarse_linked(COARSE_BITS), "u long, v long"))
+    clustered = nodes.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "n", F.coalesce("root", "node").alias("cluster"))
+    clustered = work_table(clustered, "clustered")
+    sizes = clustered.groupBy("cluster").agg(F.sum("n").alias("size")).where("size > 1")
+    members = rows.select("doc_id", "node").join(clustered.select("node", "cluster").join(sizes, "cluster"), "node")
+    members = work_table(members.select(F.col("doc_id").alias("m_id"), "cluster", "size").distinct(), "members")
+    told = body.join(members, F.col("doc_id") == F.col("m_id")).select("cluster", _cells(F.col("size"), "doc_id", block).alias("cell"), "doc_id", "text")
+    told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
+    return components(told.mapInArrow(_verified(width, similarity), "u long, v long"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those that have a near duplicate with a smaller id; all columns."""
+    later = work_table(similar_components(docs, id_col, text_col, width, similarity).where("node <> root").select(F.col("node").alias("_later")), "later")
+    return docs.join(later, docs[id_col].cast("long") == F.col("_later"), "left_anti")
