@@ -1,9 +1,15 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the library and, where SQL can say the same, their DuckDB text."""
+
+from __future__ import annotations
+
+from .plans import edges, text
+
+MODULES = (text, edges)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
