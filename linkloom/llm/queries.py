@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_codec, chat_format, exact_dedup, packing, pii, simhash_dedup, token_counts, toxicity, url_filter
+from . import bpe_codec, chat_format, embedding_dedup, exact_dedup, packing, pii, simhash_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_exact_dedup, op5_pii_surrogates, op6_url_filter, op7_bpe_codec, op9_simhash_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_exact_dedup, op5_pii_surrogates, op6_url_filter, op7_bpe_codec, op8_embedding_near_dedup, op9_simhash_dedup, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,6 +88,12 @@ def oracle_sql() -> dict[str, str]:
                     CAST(sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS BIGINT) + CASE WHEN conv_id = -1 THEN 4 ELSE 0 END AS formatted_chars
                 FROM m GROUP BY conv_id)
             SELECT * FROM a""",
+        "op8_embedding_near_dedup": """
+            WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+            l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+            r AS (SELECT vec_id AS a, vec_id AS c FROM e UNION SELECT r.a, l.b AS c FROM r JOIN l ON r.c = l.a),
+            m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+            SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
         "op4_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
             n AS (SELECT doc_id, length(t) AS chars, sha256(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM d),
