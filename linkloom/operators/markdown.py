@@ -77,21 +77,25 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def preprocess(content: str | None, markdown: bool = True) -> list[dict]:
-    """Sentences with tokens whose offsets point into the source; without markdown the text is taken as it is."""
+def word_lists(content: str | None, markdown: bool = True) -> list[tuple[int, list[str], list[int], list[int]]]:
+    """(index, words, starts, ends) of each sentence, offsets into the source; without markdown the text is
+    taken as it is."""
     content = content or ""
-    ranges = structural_ranges(content) if markdown else []
     text, offsets = strip(content) if markdown else (content, range(len(content)))
     out = []
     for i, (a, z) in enumerate(sentence_spans(text)):
-        tokens = []
-        for m in WORD.finditer(text, a, z):
-            s, e = offsets[m.start()], offsets[m.end() - 1] + 1
-            tokens.append({"lower": m[0].lower(), "original": m[0], "start": s, "end": e, "boost": boost_of(s, e, ranges)})
-        out.append({"sent_idx": i, "tokens": tokens})
+        found = list(WORD.finditer(text, a, z))
+        out.append((i, [m[0] for m in found], [offsets[m.start()] for m in found], [offsets[m.end() - 1] + 1 for m in found]))
     return out
 
 
+def preprocess(content: str | None, markdown: bool = True) -> list[dict]:
+    """Sentences with tokens (lower, original, start, end, boost)."""
+    ranges = structural_ranges(content or "") if markdown else []
+    token = lambda w, s, e: {"lower": w.lower(), "original": w, "start": s, "end": e, "boost": boost_of(s, e, ranges)}
+    return [{"sent_idx": i, "tokens": list(map(token, words, starts, ends))} for i, words, starts, ends in word_lists(content, markdown)]
+
+
 def _schema() -> pa.DataType:
     token = pa.struct([("lower", pa.string()), ("original", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("boost", pa.int32())])
     return pa.list_(pa.struct([("sent_idx", pa.int32()), ("tokens", pa.list_(token))]))

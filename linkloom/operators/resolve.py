@@ -41,7 +41,8 @@ def lcs_column(a: Column | str, b: Column | str) -> Column:
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([None if p is None or q is None else lcs_similarity(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
 
-    return F.arrow_udf(run, "double")(a, b)
+    # marked so that the optimizer neither copies it into filters nor infers conditions on its result
+    return F.arrow_udf(run, "double").asNondeterministic()(a, b)
 
 
 def top_per_phrase(edges: DataFrame, k: int, *tie: str | Column) -> DataFrame:
@@ -55,21 +56,49 @@ def small(df: DataFrame, limit: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def letter_masks(text: str) -> tuple[int, int, int]:
+    """Which letters a text has how often: a bit for each of the first four of 32 kinds of character, in two
+    words, and how many characters are beyond that. What two texts have in common bounds their subsequence."""
+    counts = [0] * 32
+    for c in text:
+        counts[ord(c) & 31] += 1
+    masks, more = [0, 0], 0
+    for kind, n in enumerate(counts):
+        if n:
+            masks[kind >> 4] |= (1 << min(n, 4)) - 1 << (kind & 15) * 4
+            more += max(0, n - 4)
+    return *(m - (1 << 64) if m >> 63 else m for m in masks), more
+
+
+def masks_column(text: Column | str) -> Column:
+    def run(x: pa.Array) -> pa.Array:
+        got = [letter_masks(t) for t in x.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "more"])
+
+    return F.arrow_udf(run, "struct<a:long,b:long,more:int>").asNondeterministic()(text)
+
+
 def lcs_matches(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_THRESHOLD, per_phrase: int = PER_PHRASE) -> DataFrame:
     """(np, title, ord, similarity): for each normalised phrase its most similar titles; phrases: (np), titles: (title, ord).
 
-    Pairs share at least one word. Lengths that can't reach the threshold are cut in the join; equal and
-    containing pairs have closed forms; only the rest goes through the subsequence function.
+    Pairs share at least one word; each is made once, at the first word they share. Pairs whose lengths or
+    letters can't reach the threshold are cut in the join itself; equal and containing pairs have closed
+    forms; only the rest goes through the subsequence function.
     """
-    t = titles.select("title", "ord", normalize(F.col("title")).alias("nt"))
-    pw = phrases.where("np <> ''").distinct().select("np", F.posexplode(F.split("np", " ")).alias("pos", "word"))
-    tw = small(t.where("nt <> ''").select("title", "ord", "nt", F.explode(F.array_distinct(F.split("nt", " "))).alias("word")))
+    words = lambda c: F.split(c, " ")
+    t = titles.select("title", "ord", normalize(F.col("title")).alias("nt")).where("nt <> ''")
+    t = t.select("title", "ord", "nt", F.array_distinct(words("nt")).alias("tw"), masks_column("nt").alias("tm"))
+    tw = small(t.select("title", "ord", "nt", "tw", "tm", F.explode("tw").alias("word")))
+    p = phrases.where("np <> ''").distinct().select("np", words("np").alias("pw"), masks_column("np").alias("pm"))
+    pw = p.select("np", "pw", "pm", F.posexplode("pw").alias("pos", "word"))
     a, b = F.length("np"), F.length("nt")
-    reach = F.least(a, b) * CONTAINS_BOOST >= threshold * F.greatest(a, b) - 1e-9
-    pairs = pw.join(tw, "word").where(reach).groupBy("np", "title", "ord", "nt").agg(F.min("pos").alias("pos"))
+    longer = threshold * F.greatest(a, b) - 1e-9
+    common = F.bit_count(F.col("pm.a").bitwiseAND(F.col("tm.a"))) + F.bit_count(F.col("pm.b").bitwiseAND(F.col("tm.b"))) + F.least("pm.more", "tm.more")
     inside = F.col("np").contains(F.col("nt"))
+    pairs = pw.join(tw, "word").where((F.least(a, b) * CONTAINS_BOOST >= longer) & (common * CONTAINS_BOOST >= longer))
+    pairs = pairs.where(inside | (common >= longer)).where((F.col("pos") == 0) | ~F.arrays_overlap(F.slice("pw", F.lit(1), F.col("pos")), "tw"))
     closed = F.when(inside | F.col("nt").contains(F.col("np")), F.least(a, b) / F.greatest(a, b))
-    pairs = pairs.withColumn("closed", closed).where(F.col("closed").isNotNull() | (F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9))
+    pairs = pairs.select("np", "title", "ord", "nt", "pos", closed.alias("closed"))
     # pairs with a closed form go past the function as nulls, which it doesn't compute
     open_pair = F.col("closed").isNull()
     measured = pairs.withColumn("s", F.coalesce("closed", lcs_column(F.when(open_pair, F.col("np")), F.when(open_pair, F.col("nt")))))
