@@ -103,6 +103,11 @@ def parts(chunk: str, enc) -> tuple[str, list[int] | None, str]:
     return chunk[:a], enc.encode_ordinary(chunk[a:at]), chunk[at:]
 
 
+def _cost(entry: tuple) -> int:
+    """About how many bytes a remembered chunk takes."""
+    return 400 + len(entry[0]) + len(entry[2]) + 8 * len(entry[1] or ())
+
+
 class Encoder:
     """Encodes texts chunk by chunk; `known` holds shared chunks, `limit` bounds the bytes remembered."""
 
@@ -113,16 +118,18 @@ class Encoder:
 
     def _parts(self, chunk: bytes) -> tuple:
         key = digest(chunk)
-        got = self.known.get(key) or self.seen.get(key)
+        got = self.known.get(key)
+        if got is not None:
+            self.reused += 1
+            return got[0], None if got[1] is None else np.asarray(got[1]).tolist(), got[2]
+        got = self.seen.get(key)
         if got is not None:
             self.reused += 1
             return got
         got = self.seen[key] = parts(chunk.decode("utf-8", "surrogatepass"), self.enc)
-        self.held += len(chunk) + 8 * len(got[1] or ()) + 400
-        while self.held > self.limit:
-            _, old = self.seen.popitem(last=False)
-            self.held -= len(old[0]) + len(old[2]) + 8 * len(old[1] or ()) + 400
-            self.held = max(self.held, 0)
+        self.held += _cost(got)
+        while self.held > self.limit and self.seen:
+            self.held -= _cost(self.seen.popitem(last=False)[1])
         return got
 
     def _ordinary(self, text: str) -> list[int]:
@@ -215,9 +222,10 @@ def _once(ranks_path: str):
     return run
 
 
-def dictionary(rows: DataFrame, ranks_path: str, most_chunks: int = 16_384) -> dict[bytes, tuple]:
+def dictionary(rows: DataFrame, ranks_path: str, most_chunks: int = 8192) -> dict[bytes, tuple]:
     """The chunks that save most when encoded once: at most most_chunks, so at most most_chunks * LARGEST
-    bytes of text (128 MB; some 16 MB at the usual chunk length), whatever the size of the table."""
+    bytes of text (64 MB; some 8 MB at the usual chunk length), whatever the size of the table. Ids are kept
+    as packed 32-bit numbers."""
     counted = rows.mapInArrow(_counted, "digest binary, n long, bytes long").groupBy("digest").agg(F.sum("n").alias("n"), F.max("bytes").alias("bytes"))
     best = counted.where("n > 1").orderBy(((F.col("n") - 1) * F.col("bytes")).desc(), "digest").limit(most_chunks).collect()
     wanted = frozenset(bytes(r["digest"]) for r in best)
@@ -225,7 +233,7 @@ def dictionary(rows: DataFrame, ranks_path: str, most_chunks: int = 16_384) -> d
         return {}
     found = rows.mapInArrow(_fetched(wanted), "digest binary, chunk binary").groupBy("digest").agg(F.min("chunk").alias("chunk"))
     encoded = found.mapInArrow(_once(ranks_path), "digest binary, head string, ids binary, tail string")
-    return {bytes(r["digest"]): (r["head"], None if r["ids"] is None else np.frombuffer(r["ids"], "<u4").tolist(), r["tail"]) for r in work_table(encoded, "chunks").collect()}
+    return {bytes(r["digest"]): (r["head"], None if r["ids"] is None else np.frombuffer(r["ids"], "<u4"), r["tail"]) for r in work_table(encoded, "chunks").collect()}
 
 
 def _coded(ranks_path: str, json_path: str, shared, keep_ids: bool):
