@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt to all cores if its files give fewer partitions than there are (a small table in one
+    file); tables of more partitions than cores stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: A word, quoted for SQL.
 WORD = "'[a-zA-Z0-9]+(?:[''’][a-zA-Z]+)*'"
 STOP = "(" + ", ".join(f"'{w}'" for w in sorted(set(STOPWORDS))) + ")"
@@ -32,14 +43,14 @@ GRAMS = SENTENCE_WORDS + """,
 def titles_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(title, ord): the first three words of every document that has three."""
     w = tokens(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 3).alias("w")).where(F.size("w") == 3)
+    rows = documents(spark, sf_dir).select("doc_id", F.slice(w, 1, 3).alias("w")).where(F.size("w") == 3)
     return rows.groupBy(F.array_join("w", " ").alias("title")).agg(F.min("doc_id").alias("ord"))
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(note_id, title, content): documents with frontmatter, a heading, links and a footer around them."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     a, b = (parts.select(F.col("p_partkey").alias(f"k{x}"), F.col("p_name").alias(x)) for x in "ab")
     rows = docs.join(a, F.col("doc_id") % 50 + 1 == F.col("ka")).join(b, F.col("doc_id") % 49 + 2 == F.col("kb"))
     content = F.concat(F.lit("---\ntags: x\n---\n# "), F.initcap("a"), F.lit("\n\n"), F.col("text"), F.lit(" [["), F.initcap("a"), F.lit("]] ![[img.png]] [["), F.col("b"), F.lit("|see it]] [["), F.col("b"), F.lit("#part]]\n```\n[[code]]\n```\n%% wiki footer\n[[foot]]"))

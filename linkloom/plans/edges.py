@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import embed, evaluate, markdown, merge, resolve, sae, spans, store
 from ..streaming import queue
-from .common import DECORATED, decorated, table, titles_of_documents
+from .common import DECORATED, decorated, documents, table, titles_of_documents
 from .discover import discover_links, document_phrases
 
 
 def lcs_resolve(spark, sf_dir):
     """The flagship: which documents should each document link to, by its phrases and their titles."""
-    phrases = document_phrases(table(spark, sf_dir, "documents"), max_n=3)
+    phrases = document_phrases(documents(spark, sf_dir), max_n=3)
     edges = resolve.resolve_lcs(phrases, titles_of_documents(spark, sf_dir))
     got = merge.dedup_and_rank(edges.withColumnRenamed("title", "target"))
     return got.select("note_id", "phrase", "target", F.round("similarity", 6).alias("similarity"), "rank")
@@ -34,7 +34,7 @@ def strong_match_skip(spark, sf_dir):
 
 
 def link_discovery(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("note_id"), "text")
     got = discover_links(docs, titles_of_documents(spark, sf_dir), embedder=embed.hash_embedder(32), dense_threshold=0.99, max_n=2)
     return got.select("note_id", "phrase", "target", F.round("similarity", 6).alias("similarity"), F.array_join("matched_by", "+").alias("matched_by"), "match_type", "rank")
 
@@ -140,7 +140,7 @@ def edge_store_read(spark, sf_dir):
 
 
 def drop_note(spark, sf_dir):
-    gone = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"))
+    gone = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"))
     return store.drop_notes(_stored(spark, sf_dir).where("source_id is not null"), gone).select("edge")
 
 
@@ -302,7 +302,7 @@ ORACLES = {
         row_number() OVER (PARTITION BY note_id ORDER BY similarity DESC, phrase, target)::INTEGER AS place FROM mg""",
     "suppress_edges": f"WITH {_ST} SELECT edge, source_id FROM so WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.source_id = so.source_id AND dn.phrase_key = so.phrase_key AND dn.target_id = so.target_id)",
     "edge_store_read": f"WITH {_ST} SELECT source_id, phrase, target_id, similarity, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, phrase, target_id)::INTEGER AS place FROM so WHERE source_id IS NOT NULL AND similarity >= 0.7",
-    "drop_note": f"WITH {_ST}, g AS (SELECT n_nationkey::VARCHAR AS id FROM nation) SELECT edge FROM so WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
+    "drop_note": f"WITH {_ST}, g AS (SELECT r_regionkey::VARCHAR AS id FROM region) SELECT edge FROM so WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
     "deny_edges": f"WITH {_ST}, k AS (SELECT source_id, phrase_key, target_id FROM dn UNION SELECT source_id, phrase_key, target_id FROM so WHERE source_id IS NOT NULL) SELECT source_id, count(*) AS n_keys FROM k GROUP BY 1",
     "reconcile": f"""WITH {_SN}, o AS (SELECT * FROM n WHERE path NOT IN (SELECT path FROM f)), w AS (SELECT * FROM f WHERE path NOT IN (SELECT path FROM n)),
         lone AS (SELECT size, min(path) AS path, min(mtime) AS mtime FROM w GROUP BY 1 HAVING count(*) = 1),

@@ -7,37 +7,37 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.words import ADJECTIVE_SUFFIXES, NOUN_SUFFIXES, VERB_SUFFIXES
 from ..operators import corpus, links, markdown, spans, yake
-from .common import DECORATED, GRAMS, SENTENCE_WORDS, SENTENCES, STOP, WORD, decorated, table
+from .common import DECORATED, GRAMS, SENTENCE_WORDS, SENTENCES, STOP, WORD, decorated, documents, table
 
 
 def tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
     per_doc = rows.groupBy(F.lower("t").alias("token"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def sentences_split(spark, sf_dir):
     s = T.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"), F.array_max(F.transform(s, F.length)).alias("longest"))
+    return documents(spark, sf_dir).select("doc_id", F.size(s).alias("n_sentences"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).alias("n_chars"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
 def sentence_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.corpus_sentences(F.col("text"))).alias("s"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(T.corpus_sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("seen"), F.count_if(corpus.keep_sentence(F.col("s"))).alias("kept"))
 
 
 def normalize_phrase(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(t)).alias("normalized_md5"), F.md5(T.phrase_key(t)).alias("key_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.normalize(t)).alias("normalized_md5"), F.md5(T.phrase_key(t)).alias("key_md5"))
 
 
 def pos_tags(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
+    words = documents(spark, sf_dir).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).distinct()
     return yake.pos_tags(words)
 
 
 def ngrams_span(spark, sf_dir):
-    p = spans.span_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", max_n=3, markdown=False)
+    p = spans.span_phrases(documents(spark, sf_dir), "doc_id", "text", max_n=3, markdown=False)
     return p.groupBy(F.col("note_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_phrases"), F.sum(F.length("phrase")).alias("n_chars"), F.min("phrase").alias("first_phrase"), F.max("phrase").alias("last_phrase"))
 
 
@@ -47,12 +47,12 @@ def title_scan(spark, sf_dir):
 
 
 def embed_cap(spark, sf_dir):
-    p = spans.span_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", max_n=3, markdown=False)
+    p = spans.span_phrases(documents(spark, sf_dir), "doc_id", "text", max_n=3, markdown=False)
     return spans.embed_cap(p).select(F.col("note_id").alias("doc_id"), "phrase")
 
 
 def _stats(spark, sf_dir):
-    return yake.term_stats(markdown.plain_sentences(table(spark, sf_dir, "documents")))
+    return yake.term_stats(markdown.plain_sentences(documents(spark, sf_dir)))
 
 
 def term_stats(spark, sf_dir):
@@ -73,7 +73,7 @@ def doc_freq_tfidf(spark, sf_dir):
 
 
 def yake_topn(spark, sf_dir):
-    got = yake.phrases(markdown.plain_sentences(table(spark, sf_dir, "documents")), max_n=3, top_n=20)
+    got = yake.phrases(markdown.plain_sentences(documents(spark, sf_dir)), max_n=3, top_n=20)
     return got.select(F.col("note_id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
 
 
@@ -117,7 +117,7 @@ def strip_mentions(spark, sf_dir):
 
 def write_back(spark, sf_dir):
     """The first word of each document linked to a note; every third span is one off."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     word = F.regexp_extract("text", "([a-zA-Z]+)", 1)
     start = F.instr(F.col("text"), word) - 1
     shift = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
@@ -131,7 +131,7 @@ def title_clean(spark, sf_dir):
 
 
 def vocab_filter(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \n]")).alias("raw")).distinct()
+    words = documents(spark, sf_dir).select(F.explode(F.split("text", r"[ \n]")).alias("raw")).distinct()
     c = corpus.concept(F.col("raw"))
     return words.select(c.alias("concept")).where(corpus.valid_concept(F.col("concept"))).distinct()
 
@@ -141,7 +141,7 @@ def entity_decode(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
 
 
 def corpus_dedup_lower(spark, sf_dir):
@@ -155,7 +155,7 @@ def corpus_dedup_cased(spark, sf_dir):
 def quota_union(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.lit("parts").alias("source"), F.col("p_partkey").cast("long").alias("ord"), F.lower("p_name").alias("phrase"))
     cust = table(spark, sf_dir, "customer").select(F.lit("customers").alias("source"), F.col("c_custkey").cast("long").alias("ord"), F.lower("c_mktsegment").alias("phrase"))
-    words = table(spark, sf_dir, "documents").select(F.lit("words").alias("source"), F.col("doc_id").alias("ord"), F.lower(F.get(F.split("text", " "), F.lit(0))).alias("phrase"))
+    words = documents(spark, sf_dir).select(F.lit("words").alias("source"), F.col("doc_id").alias("ord"), F.lower(F.get(F.split("text", " "), F.lit(0))).alias("phrase"))
     got = corpus.quota_union(part.unionByName(cust).unionByName(words), {"parts": 40, "customers": 3, "words": 300})
     return got.select("source", "ord", "phrase", "n")
 
