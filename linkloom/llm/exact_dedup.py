@@ -81,5 +81,5 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = judged.groupBy("doc_id", "text_sha256", "chars").count().where("count > 1").limit(1)
     sha = F.sha2(normalised(docs[text_col]), 256)
     on = docs[id_col].cast("long").eqNullSafe(F.col("_k_id")) & (sha == F.col("_k_sha")) & (F.length(F.coalesce(docs[text_col], F.lit(""))).cast("long") == F.col("_k_chars"))
-    out = docs.join(kept, on, "left_semi")
+    out = docs.join(kept.hint("shuffle_hash"), on, "left_semi")  # texts are not sorted
     return out.dropDuplicates([id_col, text_col]) if not same.isEmpty() else out
