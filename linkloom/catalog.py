@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import edges, text
+from .plans import edges, models, text
 
-MODULES = (text, edges)
+MODULES = (text, edges, models)
 
 
 def queries() -> dict:

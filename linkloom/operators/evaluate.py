@@ -102,3 +102,11 @@ def compare_runs(reports: DataFrame) -> DataFrame:
     """
     last = F.try_element_at("epochs", F.lit(-1))
     return reports.select("run", F.coalesce("final_mse", "metrics_mse", last["mse"]).alias("mse"), last["dead"].alias("dead"), ratio(F.col("labelled") * 100.0, F.col("hidden")).alias("coverage"))
+
+
+def sweep(base: dict, factors: dict[str, list]) -> list[dict]:
+    """Configurations of a one-factor-at-a-time sweep: the base and each factor's values, equal ones once."""
+    out = [dict(base)]
+    for name, values in factors.items():
+        out += [c for v in values if (c := base | {name: v}) not in out]
+    return out

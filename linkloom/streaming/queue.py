@@ -136,3 +136,25 @@ def publish(stream: DataFrame, root: str, resolve: Callable[[DataFrame], DataFra
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_progress")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def publish_in_steps(steps: list[Callable[[], DataFrame]], root: str, has_edges: bool, commit: Callable[[], None]) -> int:
+    """Writes interim results of a note batch one after the other (lexical, then with dense, then all), each
+    replacing the last; interim ones only where there are no edges yet. commit records the notes' times last,
+    so a run that breaks off is done again. A later step that fails leaves the earlier one committed."""
+    done = 0
+    for i, step in enumerate(steps):
+        if i < len(steps) - 1 and has_edges:
+            continue
+        try:
+            step().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/edges")
+            done = i + 1
+        except Exception:
+            if has_edges and not done:
+                steps[0]().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/edges")
+                done = 1
+            if not done:
+                raise
+            break
+    commit()
+    return done
