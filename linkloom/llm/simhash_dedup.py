@@ -406,11 +406,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         dealt = keyed.join(hot, "key", "left").select("key", _cells(F.coalesce("count", F.lit(1)), "node", key_block).alias("cell"), "node", "fa", "fb")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
     roots = components(dealt.mapInArrow(_coarse_linked(COARSE_BITS), "u long, v long"))
-    clustered = nodes.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", "n", F.coalesce("root", "node").alias("cluster"))
-    clustered = work_table(clustered, "clustered")
-    sizes = clustered.groupBy("cluster").agg(F.sum("n").alias("size")).where("size > 1")
-    members = rows.select("doc_id", "node").join(clustered.select("node", "cluster").join(sizes, "cluster"), "node")
-    members = work_table(members.select(F.col("doc_id").alias("m_id"), "cluster", "size").distinct(), "members")
+    # a node is alone unless it has a link (then it has a root) or several documents
+    clustered = nodes.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("root is not null or n > 1")
+    clustered = work_table(clustered.select("node", "n", F.coalesce("root", "node").alias("cluster")), "clustered")
+    members = rows.select("doc_id", "node").distinct().join(clustered, "node").select(F.col("doc_id").alias("m_id"), "cluster")
+    large = work_table(clustered.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > block), "large_clusters")
+    if large.isEmpty():
+        members = members.withColumn("size", F.lit(1))
+    else:
+        few = large.count() <= 10_000  # each has over `block` documents
+        members = members.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    members = work_table(members.select("m_id", "cluster", "size"), "members")
     told = body.join(members, F.col("doc_id") == F.col("m_id")).select("cluster", _cells(F.col("size"), "doc_id", block).alias("cell"), "doc_id", "text")
     told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
     return components(told.mapInArrow(_verified(width, similarity), "u long, v long"))
