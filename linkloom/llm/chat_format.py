@@ -14,7 +14,7 @@ hold the content of assistant turns, framing excluded.
 A conversation is brought together by its id and sorted by turn, then streamed: the task holds one
 batch and a running digest, never a whole conversation, however long.
 
-Defined cases: null text is empty; null roles are empty; a null conversation id is one conversation of
+Defined cases: null text is empty; null roles are empty, and line breaks in a role become spaces; a null conversation id is one conversation of
 its own; rows that repeat a turn follow each other, ordered by role and text; an empty table gives only
 the rows that the caller adds.
 """

@@ -44,7 +44,7 @@ KEY = ["digest", "bytes", "check"]
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 16, fan_in: int = 4) -> DataFrame:
-    """doc_id, row, chars, keep_id, group_size, kept, text_sha256, tied for every row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, row, chars for every row of docs.
 
     kept marks exactly one row of each group: most code points, then smallest id, then first row.
     """
