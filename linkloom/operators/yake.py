@@ -79,39 +79,34 @@ def phrases(sentences: DataFrame, titles: DataFrame | None = None, tfidf: DataFr
 
     titles: (title) gives a boost to phrases that are one; tfidf: (note_id, term, tfidf) to rare terms.
     """
+    sentences = sentences.repartition("note_id")  # aggregates and windows by note stay in its task from here on
     scores = term_scores(term_stats(sentences, window)).select("note_id", "term", "h")
-    grams = ngrams(sentences, max_n)
-    key = F.array_join(F.transform("words", lambda w: w["lower"]), " ")
-    grams = grams.withColumn("key", key).withColumn("gram_tf", F.count(F.lit(1)).over(Window.partitionBy("note_id", "key")))
-    head, tail = F.element_at("words", 1)["lower"], F.element_at("words", -1)["lower"]
-    grams = grams.where(~is_stopword(head) & ~is_stopword(tail) & ((F.col("n") > 1) | (F.length(head) > 1)))
-    # one row per distinct phrase goes on: the score depends on place only through case and boost
+    lower = lambda i: F.element_at("words", i)["lower"]
+    # whether a window counts depends on its words alone, so those that don't can go before they are counted
+    grams = ngrams(sentences, max_n).where(~is_stopword(lower(1)) & ~is_stopword(lower(-1)) & ((F.col("n") > 1) | (F.length(lower(1)) > 1)))
     place = F.struct("sent_idx", "n", "i")
-    original = F.transform("words", lambda w: w["original"])
-    seen = grams.groupBy("note_id", "key", original.alias("originals"), F.array_max(F.transform("words", lambda w: w["boost"])).alias("boost")).agg(
-        F.min("place" if "place" in grams.columns else place).alias("place"),
-        F.min_by(F.struct(F.element_at("words", 1)["start"].alias("start"), F.element_at("words", -1)["end"].alias("end")), place).alias("span"),
-        F.first("gram_tf").alias("gram_tf"),
-    )
-    member = seen.select("note_id", "key", "originals", "boost", "place", "span", "gram_tf", F.explode(F.filter(F.split("key", " "), lambda w: ~is_stopword(w))).alias("term"))
-    weighed = member.join(scores, ["note_id", "term"], "left")
-    group = ["note_id", "key", "originals", "boost", "place", "span", "gram_tf"]
+    shown = F.transform("words", lambda w: w["original"])
+    span = F.struct(F.element_at("words", 1)["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"))
+    forms = grams.groupBy("note_id", shown.alias("originals"), F.array_max(F.transform("words", lambda w: w["boost"])).alias("boost")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"), F.min_by(span, place).alias("span"))
+    boost = F.col("boost") + F.when(is_noun_phrase(F.col("originals")), NOUN_BOOST).otherwise(0.0)
+    forms = forms.withColumn("key", F.lower(F.array_join("originals", " "))).withColumn("form_boost", boost)
+    best = F.max_by(F.struct("originals", "form_boost", "place", "span"), F.struct("form_boost", -F.col("place.sent_idx"), -F.col("place.n"), -F.col("place.i")))
+    keys = forms.groupBy("note_id", "key").agg(F.sum("n").alias("gram_tf"), best.alias("b"))
+    weighed = keys.select("*", F.explode(F.filter(F.split("key", " "), lambda w: ~is_stopword(w))).alias("term")).join(scores, ["note_id", "term"], "left")
     if tfidf is not None:
         top = tfidf.groupBy(F.col("note_id").alias("t_note")).agg(F.max("tfidf").alias("max_tfidf"))
         weighed = weighed.join(tfidf.select("note_id", "term", "tfidf"), ["note_id", "term"], "left").join(top, F.col("note_id") == F.col("t_note"), "left")
     else:
         weighed = weighed.withColumn("tfidf", F.lit(None).cast("double")).withColumn("max_tfidf", F.lit(None).cast("double"))
     h = F.coalesce("h", F.lit(1.0))
-    scored = weighed.groupBy(*group).agg(F.sum(F.log(h)).alias("logs"), F.avg(h).alias("mean"), F.count(F.lit(1)).alias("k"), F.max("tfidf").alias("tfidf"), F.max("max_tfidf").alias("max_tfidf"))
+    scored = weighed.groupBy("note_id", "key").agg(F.sum(F.log(h)).alias("logs"), F.avg(h).alias("mean"), F.count(F.lit(1)).alias("k"), F.max("tfidf").alias("tfidf"), F.max("max_tfidf").alias("max_tfidf"), F.first("gram_tf").alias("gram_tf"), F.first("b").alias("b"))
     raw = F.exp(F.col("logs") / F.col("k")) / (F.greatest("gram_tf", F.lit(1)) * (1 + F.col("mean")))
-    boost = F.col("boost").cast("double") + F.when(F.col("max_tfidf") > 0, 2 * F.greatest(F.coalesce("tfidf", F.lit(0.0)), F.lit(0.0)) / F.col("max_tfidf")).otherwise(0.0)
-    boost = boost + F.when(is_noun_phrase(F.col("originals")), NOUN_BOOST).otherwise(0.0)
+    total = F.col("b.form_boost") + F.when(F.col("max_tfidf") > 0, 2 * F.greatest(F.coalesce("tfidf", F.lit(0.0)), F.lit(0.0)) / F.col("max_tfidf")).otherwise(0.0)
     if titles is not None:
         known = titles.select(F.lower(titles.columns[0]).alias("known")).distinct()
-        scored = scored.join(known, F.lower(F.array_join("originals", " ")) == F.col("known"), "left")
-        boost = boost + F.when(F.col("known").isNotNull(), NOTE_BOOST).otherwise(0.0)
-    best = scored.withColumn("raw", raw / (1 + boost)).groupBy("note_id", "key").agg(F.min(F.struct("raw", "place", "originals", "span")).alias("b"))
-    rows = best.select("note_id", F.array_join("b.originals", " ").alias("phrase"), F.col("b.raw").alias("raw"), "b.span.start", "b.span.end", "b.place")
+        scored = scored.join(known, F.col("key") == F.col("known"), "left")
+        total = total + F.when(F.col("known").isNotNull(), NOTE_BOOST).otherwise(0.0)
+    rows = scored.select("note_id", F.array_join("b.originals", " ").alias("phrase"), (raw / (1 + total)).alias("raw"), "b.span.start", "b.span.end", "b.place")
     return normalize_scores(rows, top_n)
 
 

@@ -12,11 +12,11 @@ from linkloom.streaming import queue
 
 def test_vault(spark, tmp_path):
     (tmp_path / "a").mkdir()
-    (tmp_path / ".obsidian").mkdir()
+    (tmp_path / ".settings").mkdir()
     (tmp_path / "a" / "N é.md").write_text("hi é")
-    (tmp_path / ".obsidian" / "x.md").write_text("no")
+    (tmp_path / ".settings" / "x.md").write_text("no")
     (tmp_path / "b.txt").write_text("no")
-    got = notes.read_vault(spark, str(tmp_path), (".obsidian",)).collect()
+    got = notes.read_vault(spark, str(tmp_path), (".settings",)).collect()
     assert [(r.basename, r.content, r["size"]) for r in got] == [("N é", "hi é", 5)]
     assert "content" not in notes.list_vault(spark, str(tmp_path)).columns
 
