@@ -7,7 +7,7 @@ rules have. Each key is tested against the filter: one 512-bit block, found by o
 key's bits. Keys that pass are joined exactly with the rules, which removes the false positives; no
 key of a rule is ever lost. Only distinct (host, path start) pairs with a possible hit are joined, so a
 host that has a third of all pages is looked up once per path start, and the answer returns to the
-pages by a join that Spark splits where it is skewed. Without a rule a URL is not listed: allowed.
+pages by a salted join. Without a rule a URL is not listed: allowed.
 
 The filter has `bits_per_key` bits per rule up to `max_filter_bytes` (beyond that only its false
 positives grow); it is built by a distributed bitwise-or and sent as one literal of proven size.
@@ -25,6 +25,8 @@ from .common import work_table
 
 #: Upper and lower case letters that a host folds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Over so many tasks the pages of one host and path start are spread.
+SALTS = 16
 #: Bits set per key inside its block.
 PROBES = 6
 
@@ -95,5 +97,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
     small = F.broadcast(listed) if n <= broadcast_rules else listed.hint("shuffle_hash")
     rank = F.struct(F.length("r_host"), F.length("r_path"), F.col("r_host"), F.col("r_path"))
     sure = hits.join(small, "key").groupBy("host", "start").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "action"), rank).alias("hit"))
-    out = rows.withColumn("start", start).join(sure, ["host", "start"], "left")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    salted = rows.withColumn("start", start).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+    out = salted.join(sure.select("host", "start", "hit", salts), ["host", "start", "salt"], "left")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit("allow")).alias("verdict"))
