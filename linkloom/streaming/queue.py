@@ -51,27 +51,28 @@ def keep_after_cooldown(times: Column, cooldown: Column | int) -> Column:
     return F.aggregate(times, start, step)
 
 
-def cooldown(jobs: DataFrame, key: str = "path", t: str = "t", cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
-    """(key, t) of the jobs that run: one that comes within the cooldown after the last that ran is lost.
+def cooldown(jobs: DataFrame, key: str = "path", t: str = "t", cooldown_ms: int = COOLDOWN_MS, forced: str | None = None) -> DataFrame:
+    """(key, t) of the jobs that run: one that comes within the cooldown after the last that ran is lost,
+    unless its boolean column forced says that it runs anyway.
 
     Rows of a key stream through in order (secondary sort), so a busy note never has to fit in memory.
     """
     import pyarrow as pa
 
     kinds = dict(jobs.dtypes)
-    rows = jobs.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t")).repartition("key").sortWithinPartitions("key", "t")
+    rows = jobs.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t"), F.coalesce(F.col(forced), F.lit(False)).alias("f") if forced else F.lit(False).alias("f")).repartition("key").sortWithinPartitions("key", "t")
 
     def run(batches):
         now, last = None, None
         for b in batches:
             keep = []
-            for k, x in zip(b.column("key").to_pylist(), b.column("t").to_pylist()):
+            for k, x, f in zip(*(b.column(c).to_pylist() for c in ("key", "t", "f"))):
                 if k != now:
                     now, last = k, None
-                ok = last is None or x - last >= cooldown_ms
+                ok = f or last is None or x - last >= cooldown_ms
                 keep.append(ok)
                 last = x if ok else last
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.select(["key", "t"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, f"key {kinds[key]}, t long").withColumnRenamed("key", key)
 
@@ -116,6 +117,12 @@ def debounced_jobs(jobs: DataFrame, debounce_ms: int = DEBOUNCE_MS, priority_ms:
     return jobs.withWatermark("ts", "1 second").groupBy("path").applyInPandasWithState(run, "path string, fires timestamp", "pending long, fired long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def switch_focus(pending: DataFrame, active: str) -> DataFrame:
+    """Pending jobs (path, high, ...) after the user turns to a note: its own, now high, and the high ones."""
+    own = F.col("path") == active
+    return pending.where(own | F.col("high")).withColumn("high", F.col("high") | own)
+
+
 def dispatch_order(jobs: DataFrame) -> DataFrame:
     """Order in which jobs run: high before normal, first come first."""
     from pyspark.sql import Window

@@ -198,3 +198,30 @@ def test_discover(spark):
     titles = spark.createDataFrame([("Data Lake", 0), ("Kafka Streams", 1)], "title string, ord int")
     got = {(r.phrase, r.target): r.match_type for r in discover_links(notes, titles, embed.hash_embedder(16), dense_threshold=0.999).collect()}
     assert got[("data lakes", "Data Lake")] == "deterministic" and ("Kafka streams", "Kafka Streams") in got
+
+
+VAULT = {
+    "Data Lake": "---\ntags: x\n---\n# Data Lake\n\nA store for raw data. It feeds a [[Data Warehouse]] and [[Stream Processing]].\n%% wiki footer\n[[Graph Theory]]",
+    "Data Warehouse": "# Data Warehouse\n\nTables for reports, loaded from a [[Data Lake]] by [[Batch Processing|nightly jobs]]. See [[Star Schema#facts]].",
+    "Stream Processing": "Events are handled as they come. ```\n[[Data Lake]]\n``` Compare [[Batch Processing]].",
+    "Batch Processing": "Many rows at once, often over a [[Data Lake]]. ![[picture.png]]",
+    "Star Schema": "Facts and dimensions in a [[Data Warehouse]].",
+    "Graph Theory": "Nothing to see but vertices.",
+}
+
+
+def test_planted_links_are_found(spark):
+    from linkloom.functions.text import normalize
+    from linkloom.operators import links
+
+    names = sorted(VAULT)
+    notes = spark.createDataFrame([(i, n, VAULT[n]) for i, n in enumerate(names)], "note_id long, name string, content string")
+    titles = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "title string, ord int")
+    plain = notes.withColumn("content", links.remove_aliased(F.col("content")))
+    truth = plain.select("note_id", F.explode(links.link_targets(F.col("content"))).alias("target"))
+    text = plain.select("note_id", links.strip_links(links.zones(F.col("content"))["body"]).alias("text"))
+    found = discover_links(text, titles, max_n=3)
+    own = notes.select("note_id", normalize(F.col("name")).alias("own"))
+    predicted = found.select("note_id", normalize(F.col("target")).alias("target")).join(own, "note_id").where("target <> own").select(F.lit("lcs").alias("system"), "note_id", "target")
+    got = evaluate.micro(evaluate.confusion(predicted, truth, titles.select(normalize(F.col("title")).alias("title")))).first()
+    assert (got.tp, got.fn) == (7, 0) and got.recall == 1 and got.precision > 0.8

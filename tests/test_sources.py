@@ -92,6 +92,10 @@ def test_debounce_and_cooldown(spark):
     assert [(r.n, r.seq) for r in got] == [(3, 700), (1, 5000)]
     rows = spark.createDataFrame([("a", t) for t in (0, 1000, 2000, 2500, 4100)] + [("b", 3)], "path string, t long")
     assert sorted((r.path, r.t) for r in queue.cooldown(rows).collect()) == [("a", 0), ("a", 2000), ("a", 4100), ("b", 3)]
+    some = rows.withColumn("now", F.col("t") == 2500)
+    assert sorted((r.path, r.t) for r in queue.cooldown(some, forced="now").collect()) == [("a", 0), ("a", 2000), ("a", 2500), ("b", 3)]
+    pending = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "path string, high boolean")
+    assert sorted((r.path, r.high) for r in queue.switch_focus(pending, "a").collect()) == [("a", True), ("c", True)]
     arr = spark.createDataFrame([([0, 1000, 2000, 2500, 4100],)], "t array<long>")
     assert arr.select(queue.keep_after_cooldown(F.col("t"), 2000)).first()[0] == [0, 2000, 4100]
 
