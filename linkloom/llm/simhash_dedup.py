@@ -157,11 +157,20 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def _array(column) -> np.ndarray:
+    """A column of numbers, or of lists of SKETCH / 64 numbers."""
+    import pyarrow as pa
+
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH // 64)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def runs_of(batches, keys: int):
     """Whole runs of equal leading columns from key-sorted batches, as (starts, columns) of many runs at a time."""
     kept = None
     for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        cols = [_array(c) for c in b.columns]
         if kept is not None:
             cols = [np.concatenate([k, c]) for k, c in zip(kept, cols)]
         if not len(cols[0]):
@@ -240,81 +249,115 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- grouping by shingle similarity -----------------------------------------------------------
 #
-# Texts whose sets of five-word shingles are alike to 0.8 share nearly all their words, so fingerprints
-# over distinct words differ in few bits where those over shingles differ in many. Two such coarse
-# fingerprints find the candidates by the same Golay keys; clusters of candidates are then checked
-# on their texts.
-
-#: Two coarse fingerprints (128 bits) of candidates differ in at most so many bits.
-COARSE_BITS = 20
-
+# The search for pairs of sets alike to t is complete. Under any order of all shingles that is the same
+# for every set, two such sets share one of the first n - ceil(t n) + 1 shingles of each (prefix
+# filtering). At the first one they share, at places i and j, no more than 1 + min(n - i - 1, m - j - 1)
+# can be common, which must reach t / (1 + t) of n + m. The parities of how many shingles fall into
+# each of SKETCH slots differ in at most as many slots as the sets differ in shingles, which must be
+# within (1 - t) / (1 + t) of n + m. Pairs that meet at a shingle and stay within these bounds are
+# candidates; clusters of candidates are then checked on their texts. The order puts shingles last that
+# a sample of documents shows to be common: it decides how many rows meet, never which pairs are found.
+
+#: Slots of a sketch.
+SKETCH = 1024
+#: One document in so many is sampled for common shingles; at most so many shingles are put last.
+SAMPLE, COMMON = 16, 1 << 16
+#: Bounds are loosened by this much against rounding.
+SLACK = 1e-6
+
+
+def prefix(values: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of the search; common: sorted by value, with ranks (2, n)."""
+    if not len(values):
+        return np.zeros(1, np.uint64)  # empty sets meet one another
+    count = len(values) - int(np.ceil(similarity * len(values) - SLACK)) + 1
+    if not common.shape[1]:
+        return values[:count]
+    at = np.minimum(np.searchsorted(common[0], values), common.shape[1] - 1)
+    rank = np.where(common[0][at] == values, common[1][at], 0)
+    return values[np.argsort(rank, kind="stable")][:count]
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles by slot, as SKETCH / 64 words."""
+    parity = np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view("<u8")
+
+
+def _shingled(width: int):
+    def run(batches):
+        import pyarrow as pa
 
-def coarse(text: str | None) -> tuple[int, int]:
-    """Two fingerprints over the distinct words of a text."""
-    from xxhash import xxh64_intdigest
+        for b in byte_batches(batches, "text"):
+            for text in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width).view(np.int64))], names=["key"])
 
-    words = set((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
-    if not words:
-        return 0, 0
-    h = np.array([xxh64_intdigest(w, 42) for w in words], "<u8")
-    g = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    out = []
-    for x in (h, g ^ (g >> np.uint64(32))):
-        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(x), bitorder="little").view("<i8")[0]))
-    return out[0], out[1]
+    return run
 
 
-def _coarse(batches):
-    import pyarrow as pa
+def common_shingles(body: DataFrame, width: int) -> np.ndarray:
+    """(2, n) values and ranks of the shingles most common in a sample of the documents, sorted by value."""
+    some = body.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(_shingled(width), "key long").groupBy("key").count().where("count > 2")
+    top = counts.orderBy(F.col("count").desc(), "key").limit(COMMON).collect()
+    values = np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return np.stack([values[order], np.arange(1, len(values) + 1, dtype=np.uint64)[order]])
 
-    for b in byte_batches(batches, "text"):
-        got = [coarse(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["doc_id", "fa", "fb"])
 
+def _signed(width: int, similarity: float, common: np.ndarray):
+    def run(batches):
+        import pyarrow as pa
 
-def _coarse_keyed(batches):
-    import pyarrow as pa
+        for b in byte_batches(batches, "text"):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            keys = [prefix(s, similarity, common).view(np.int64) for s in sets]
+            sketches = [sketch(s).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "size", "keys", "sketch"])
 
-    for b in batches:
-        node, fa, fb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "fa", "fb"))
-        for i in range(0, len(node), 20_000):
-            for which, f in enumerate((fa[i : i + 20_000], fb[i : i + 20_000])):
-                n, keys = golay_keys(f.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys | which << 27), *(pa.array(c[i : i + 20_000][n]) for c in (node, fa, fb))], names=["key", "node", "fa", "fb"])
+    return run
 
 
-def _coarse_linked(bits: int):
+def _candidates(similarity: float):
     def run(batches):
         import pyarrow as pa
 
-        for starts, (_, _, node, fa, fb) in runs_of(batches, 2):
-            fa, fb = fa.view(np.uint64), fb.view(np.uint64)
-            ends = np.append(starts[1:], len(node))
-            size = ends - starts
-            run_of = np.repeat(np.arange(len(starts)), size)
-            small, a, c = size <= 32, [], []
-            for lag in range(1, int(size[small].max(initial=1))):
+        def near(i, j, size, pos, sk) -> np.ndarray:
+            """Which of the pairs of rows (i, j) stay within the bounds."""
+            n, m = size[i], size[j]
+            out = np.minimum(n, m) >= similarity * np.maximum(n, m) - SLACK
+            out &= np.minimum(n - pos[i], m - pos[j]) >= similarity / (1 + similarity) * (n + m) - SLACK
+            at = np.nonzero(out)[0]
+            i, j = np.broadcast_arrays(i, j)
+            apart = popcount(sk[i[at]] ^ sk[j[at]]).sum(1, dtype=np.int64)
+            out[at] = apart <= (1 - similarity) / (1 + similarity) * (n + m)[at] + SLACK
+            return out
+
+        for starts, (_, _, doc, size, pos, sk) in runs_of(batches, 2):
+            sk = sk.view(np.uint64)  # bits of negative numbers are counted by their absolute value
+            ends = np.append(starts[1:], len(doc))
+            count = ends - starts
+            run_of = np.repeat(np.arange(len(starts)), count)
+            small, a, c = count <= 32, [], []
+            for lag in range(1, int(count[small].max(initial=1))):
                 i = np.nonzero((run_of[lag:] == run_of[:-lag]) & small[run_of[:-lag]])[0]
-                i = i[popcount(fa[i] ^ fa[i + lag]).astype(int) + popcount(fb[i] ^ fb[i + lag]) <= bits]
-                a.append(node[i])
-                c.append(node[i + lag])
+                i = i[near(i, i + lag, size, pos, sk)]
+                a.append(doc[i])
+                c.append(doc[i + lag])
             for r in np.nonzero(~small)[0]:
                 left = np.arange(starts[r], ends[r])
                 while len(left) > 1:
                     queue, left = [left[0]], left[1:]
                     while queue and len(left):
-                        x = queue.pop()
-                        hit = popcount(fa[left] ^ fa[x]).astype(int) + popcount(fb[left] ^ fb[x]) <= bits
+                        x = np.array([queue.pop()])
+                        hit = near(x, left, size, pos, sk)
                         if hit.any():
-                            near = left[hit]
-                            a.append(np.repeat(node[x], len(near)))
-                            c.append(node[near])
-                            queue += near.tolist()
+                            a.append(np.repeat(doc[x], hit.sum()))
+                            c.append(doc[left[hit]])
+                            queue += left[hit].tolist()
                             left = left[~hit]
             if a:
-                a, c = np.concatenate(a), np.concatenate(c)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["u", "v"])
 
     return run
 
@@ -330,10 +373,17 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if both >= similarity * (sizes.sum() - both) else []
-    owner = np.repeat(np.arange(n), sizes)
-    values, at = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    owner, first = owner[order], np.searchsorted(at[order], np.arange(len(values) + 1))
+    cat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    order = np.argsort(cat)
+    cat = cat[order]
+    new = np.ones(len(cat), bool)
+    new[1:] = cat[1:] != cat[:-1]
+    del cat  # a cluster may hold millions of shingles
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    first = np.append(np.nonzero(new)[0], len(order))
+    del order, new
     of = np.split(at, np.cumsum(sizes)[:-1]) if n else []
     empty = sizes == 0
     out, left = [], np.ones(n, bool)
@@ -395,27 +445,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.where(docs[id_col].isNotNull())
     body = texts(docs, id_col, text_col)
-    rows = body.mapInArrow(_coarse, "doc_id long, fa long, fb long").select("doc_id", F.xxhash64("fa", "fb").alias("node"), "fa", "fb")
-    rows = work_table(rows, "coarse")
-    nodes = work_table(rows.groupBy("node").agg(F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.count(F.lit(1)).alias("n")), "nodes")
-    keyed = nodes.select("node", "fa", "fb").mapInArrow(_coarse_keyed, "key long, node long, fa long, fb long")
-    hot = work_table(keyed.groupBy("key").count().where(F.col("count") > key_block), "hot_keys")
-    if hot.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("cell"), "node", "fa", "fb")
-    else:
-        dealt = keyed.join(hot, "key", "left").select("key", _cells(F.coalesce("count", F.lit(1)), "node", key_block).alias("cell"), "node", "fa", "fb")
+    common = common_shingles(body, width)
+    signed = work_table(body.mapInArrow(_signed(width, similarity, common), "doc_id long, size int, keys array<long>, sketch array<long>"), "signed")
+    keyed = signed.select("doc_id", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = work_table(keyed.groupBy("key").count().where("count > 1"), "shared_keys")
+    met = keyed.join(shared, "key").join(signed.select("doc_id", "sketch"), "doc_id")
+    dealt = met.select("key", _cells(F.col("count"), "doc_id", key_block).alias("cell"), "doc_id", "size", "pos", "sketch")
     dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    roots = components(dealt.mapInArrow(_coarse_linked(COARSE_BITS), "u long, v long"))
-    # a node is alone unless it has a link (then it has a root) or several documents
-    clustered = nodes.join(roots.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").where("root is not null or n > 1")
-    clustered = work_table(clustered.select("node", "n", F.coalesce("root", "node").alias("cluster")), "clustered")
-    members = rows.select("doc_id", "node").distinct().join(clustered, "node").select(F.col("doc_id").alias("m_id"), "cluster")
-    large = work_table(clustered.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > block), "large_clusters")
+    roots = components(dealt.mapInArrow(_candidates(similarity), "u long, v long"))
+    clustered = work_table(roots.select(F.col("node").alias("m_id"), F.col("root").alias("cluster")), "clustered")
+    large = work_table(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "large_clusters")
     if large.isEmpty():
-        members = members.withColumn("size", F.lit(1))
+        members = clustered.withColumn("size", F.lit(1))
     else:
         few = large.count() <= 10_000  # each has over `block` documents
-        members = members.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        members = clustered.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     members = work_table(members.select("m_id", "cluster", "size"), "members")
     told = body.join(members, F.col("doc_id") == F.col("m_id")).select("cluster", _cells(F.col("size"), "doc_id", block).alias("cell"), "doc_id", "text")
     told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")

@@ -144,6 +144,27 @@ def test_similar_components_equal_brute_force(spark, block, key_block):
         assert sorted(r.doc_id for r in sd.keep_one_each(df).collect()) == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("key_block", [8192, 5])
+def test_similar_components_find_appended_prepended_and_replaced_blocks(spark, key_block):
+    g = random.Random(6)
+    vocab = [f"word{i}" for i in range(3000)]
+    rows, pairs = [], []
+    common = g.choices(vocab, k=30)
+    for n in range(120):
+        w = common + g.choices(vocab, k=g.randint(150, 400))
+        new = [f"new{n}x{i}" for i in range(len(w))]
+        part = int(len(w) * g.uniform(0.11, 0.19))
+        at = g.randrange(len(w) // 2)
+        copy = [w + new[:part], new[:part] + w, w[:at] + new[: part // 2] + w[at + part // 2 :]][n % 3]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, copy))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * n, 2 * n + 1))
+            rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(copy))]
+    assert len(pairs) > 90 and {a // 2 % 3 for a, _ in pairs} == {0, 1, 2}
+    got = {r.node: r.root for r in sd.similar_components(docs(spark, rows), key_block=key_block).collect()}
+    assert got == {x: a for a, b in pairs for x in (a, b)}
+
+
 def brute_vectors(rows, t=0.9):
     fine = {i: np.array(v, float) for i, v in enumerate(rows) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= t
