@@ -34,8 +34,11 @@ def strong_match_skip(spark, sf_dir):
 
 
 def link_discovery(spark, sf_dir):
+    """All three resolvers at their defaults; the sparse one with untrained weights, each feature its own label."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("note_id"), "text")
-    got = discover_links(docs, titles_of_documents(spark, sf_dir), embedder=embed.hash_embedder(32), dense_threshold=0.99, max_n=2)
+    weights = sae.random_weights(32, 128, 4)
+    labels = spark.range(128).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("f"), "id").alias("label"))
+    got = discover_links(docs, titles_of_documents(spark, sf_dir), embedder=embed.hash_embedder(32), weights=weights, labels=labels)
     return got.select("note_id", "phrase", "target", F.round("similarity", 6).alias("similarity"), F.array_join("matched_by", "+").alias("matched_by"), "match_type", "rank")
 
 

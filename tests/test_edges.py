@@ -6,6 +6,7 @@ from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.operators import embed, evaluate, merge, resolve, sae, store
+from linkloom.plans import edges
 from linkloom.plans.discover import discover_links
 
 
@@ -225,3 +226,12 @@ def test_planted_links_are_found(spark):
     predicted = found.select("note_id", normalize(F.col("target")).alias("target")).join(own, "note_id").where("target <> own").select(F.lit("lcs").alias("system"), "note_id", "target")
     got = evaluate.micro(evaluate.confusion(predicted, truth, titles.select(normalize(F.col("title")).alias("title")))).first()
     assert (got.tp, got.fn) == (7, 0) and got.recall == 1 and got.precision > 0.8
+
+
+def test_link_discovery_runs_whole(spark, tmp_path):
+    texts = ["alpha beta gamma is here", "we read alpha beta gamma again", "delta epsilon zeta ends", "then delta epsilon zetas came"]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = edges.link_discovery(spark, str(tmp_path)).collect()
+    assert (2, "alpha beta gamma") in {(r.note_id, r.target) for r in got if r.similarity == 1.0}
+    assert {"lcs", "dense", "sparse"} <= {m for r in got for m in r.matched_by.split("+")}
+    assert any("dense" in r.matched_by and r.similarity < 0.99 for r in got)
