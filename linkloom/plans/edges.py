@@ -12,7 +12,7 @@ from .discover import discover_links, document_phrases
 
 def lcs_resolve(spark, sf_dir):
     """The flagship: which documents should each document link to, by its phrases and their titles."""
-    phrases = document_phrases(documents(spark, sf_dir), max_n=3)
+    phrases = document_phrases(documents(spark, sf_dir))
     edges = resolve.resolve_lcs(phrases, titles_of_documents(spark, sf_dir))
     got = merge.dedup_and_rank(edges.withColumnRenamed("title", "target"))
     return got.select("note_id", "phrase", "target", F.round("similarity", 6).alias("similarity"), "rank")

@@ -73,7 +73,7 @@ def doc_freq_tfidf(spark, sf_dir):
 
 
 def yake_topn(spark, sf_dir):
-    got = yake.phrases(markdown.plain_sentences(documents(spark, sf_dir)), max_n=3, top_n=20)
+    got = yake.phrases(markdown.plain_sentences(documents(spark, sf_dir)))
     return got.select(F.col("note_id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
 
 

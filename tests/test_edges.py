@@ -6,7 +6,7 @@ from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.operators import embed, evaluate, merge, resolve, sae, store
-from linkloom.plans import edges
+from linkloom.plans import edges, text as text_queries
 from linkloom.plans.discover import discover_links
 
 
@@ -235,3 +235,11 @@ def test_link_discovery_runs_whole(spark, tmp_path):
     assert (2, "alpha beta gamma") in {(r.note_id, r.target) for r in got if r.similarity == 1.0}
     assert {"lcs", "dense", "sparse"} <= {m for r in got for m in r.matched_by.split("+")}
     assert any("dense" in r.matched_by and r.similarity < 0.99 for r in got)
+
+
+def test_flagship_queries_form_long_phrases(spark, tmp_path):
+    text = "Copper kettles boil quickly under bright mountain lanterns nightly."
+    spark.createDataFrame([(1, text), (2, "Old copper kettles boil quickly under bright mountain lanterns.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    phrases = {r.phrase for r in text_queries.yake_topn(spark, str(tmp_path)).collect()}
+    assert max(len(p.split()) for p in phrases) > 3 and len(phrases) > 20
+    assert any(len(r.phrase.split()) == 4 for r in edges.lcs_resolve(spark, str(tmp_path)).collect())
