@@ -7,6 +7,9 @@ since a later one must be strictly better; a character that is no piece by itsel
 score less 10 and falls back to its UTF-8 bytes, one token each. Words are what a Metaspace
 pre-tokenizer cuts at spaces, so each distinct word is counted once per task (a bounded memory).
 
+No unigram model file is given: the pieces are those of piece_bpe_32k.model, a BPE model, and its merge
+ranks stand in for scores, so the counts differ from that model's own encoding (figures in the README).
+
 Defined cases: null and empty texts have no tokens; repeated rows are counted each; a very long word is
 handled in one pass with three numbers per character; an empty table gives an empty result.
 """
