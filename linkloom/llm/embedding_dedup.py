@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, work_table
+from .common import components, discard, join_classes, work_table
 from .simhash_dedup import _cells, runs_of
 
 #: Width of a projection's cells, for distances between vectors of length 1.
@@ -150,8 +150,6 @@ def _compared(k: int, tables: int, cosine: float, dtype: str, step: int = 1024):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.995, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     v = vectors[vector_col]
     dtype = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     kind = "float" if dtype == "<f4" else "double"
@@ -182,9 +180,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     degree = got.where("v < 0").groupBy(F.col("u").alias("d_cid")).agg(F.sum("n").alias("others"))
     roots = components(got.where("v >= 0"))
     named = classes.select("cid", "vec", "n", "first").join(degree, F.col("cid") == F.col("d_cid"), "left").join(roots, F.col("cid") == F.col("node"), "left")
-    named = work_table(named.select("cid", "vec", "first", F.coalesce("root", "cid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    named = work_table(named.select("vec", "n", "first", F.coalesce("root", "cid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = named.join(smallest, "root").select("vec", "n_links", "component_id")
-    out = rows.join(told, "vec", "left")
+    told = work_table(named.join(smallest, "root").select("vec", "n", "n_links", "component_id"), "told")
+    discard(classes, got, named)
+    linked = join_classes(rows.where("vec is not null"), told, ["vec"], "n").drop("vec")
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

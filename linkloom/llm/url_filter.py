@@ -6,8 +6,8 @@ to allow. A URL's lookup keys are its host's suffixes times its path's prefixes
 rules have. Each key is tested against the filter: one 512-bit block, found by one hash, holds all of a
 key's bits. Keys that pass are joined exactly with the rules, which removes the false positives; no
 key of a rule is ever lost. Only distinct (host, path start) pairs with a possible hit are joined, so a
-host that has a third of all pages is looked up once per path start, and the answer returns to the
-pages by a salted join. Without a rule a URL is not listed: allowed.
+host that has a third of all pages is looked up once per path start, and the answers of the most frequent
+pairs are sent to the pages instead of the pages to them. Without a rule a URL is not listed: allowed.
 
 The filter has `bits_per_key` bits per rule up to `max_filter_bytes` (beyond that only its false
 positives grow); it is built by a distributed bitwise-or and sent as one literal of proven size.
@@ -21,12 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import work_table
+from .common import discard, join_classes, work_table
 
 #: Upper and lower case letters that a host folds.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Over so many tasks the pages of one host and path start are spread.
-SALTS = 16
 #: Bits set per key inside its block.
 PROBES = 6
 
@@ -89,7 +87,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     start = F.substring("path", 1, max(lengths))  # all that a rule can look at
     words = spark.createDataFrame([(flat,)], "words array<long>")
-    distinct = rows.where("host <> ''").select("host", start.alias("start")).distinct()
+    hosted = rows.where("host <> ''").withColumn("start", start)
+    distinct = work_table(hosted.groupBy("host", "start").agg(F.count(F.lit(1)).alias("n")), "hosts")
     prefixes = F.array(*[F.when(F.length("start") >= k, F.substring("start", 1, k)) for k in lengths])
     keys = F.flatten(F.transform(suffixes(F.col("host")), lambda h: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(h, F.lit("\n"), p))))
     tried = distinct.withColumn("keys", keys).crossJoin(F.broadcast(words))  # one row of at most max_filter_bytes
@@ -97,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col
     small = F.broadcast(listed) if n <= broadcast_rules else listed.hint("shuffle_hash")
     rank = F.struct(F.length("r_host"), F.length("r_path"), F.col("r_host"), F.col("r_path"))
     sure = hits.join(small, "key").groupBy("host", "start").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "action"), rank).alias("hit"))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    salted = rows.withColumn("start", start).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
-    out = salted.join(sure.select("host", "start", "hit", salts), ["host", "start", "salt"], "left")
+    answers = work_table(distinct.join(sure, ["host", "start"], "left").select("host", "start", "n", "hit"), "answers")
+    discard(distinct, listed)
+    nowhere = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast(answers.schema["hit"].dataType).alias("hit"))
+    out = join_classes(hosted, answers, ["host", "start"], "n").drop("start").unionByName(nowhere)
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit("allow")).alias("verdict"))
