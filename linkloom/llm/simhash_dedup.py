@@ -14,7 +14,7 @@ that meet block by block. No link within the distance is lost.
 
 Defined cases: null text counts as empty; no words gives fingerprint zero, linked like any other;
 fewer words than a shingle hash as one shingle; repeated rows share a class; an empty table gives an
-empty result.
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_batches, components, popcount, texts, work_table
+from .common import byte_batches, components, discard, fresh, join_classes, popcount, texts, work_table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of the three segments (start, width).
@@ -238,13 +238,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, fp (long), component_id (smallest id reachable; null ids lose to others) per row of docs."""
     rows = texts(docs, id_col, text_col)
     rows = work_table(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
-    classes = work_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = work_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     roots = components(near_links(classes, distance))
-    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     grouped = work_table(grouped, "grouped")
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp")
+    named = work_table(grouped.join(named, "root").select("fp", "n", "component_id"), "named")
+    discard(classes, grouped)
+    return join_classes(rows, named, ["fp"], "n")
 
 
 # ---- grouping by shingle similarity -----------------------------------------------------------
@@ -257,6 +258,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # within (1 - t) / (1 + t) of n + m. Pairs that meet at a shingle and stay within these bounds are
 # candidates; clusters of candidates are then checked on their texts. The order puts shingles last that
 # a sample of documents shows to be common: it decides how many rows meet, never which pairs are found.
+# Rows whose sets are equal are one class from the start, of which one row takes part in the search.
 
 #: Slots of a sketch.
 SKETCH = 1024
@@ -308,12 +310,16 @@ def common_shingles(body: DataFrame, width: int) -> np.ndarray:
 def _signed(width: int, similarity: float, common: np.ndarray):
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh3_128_intdigest
 
+        lists = pa.list_(pa.int64())
         for b in byte_batches(batches, "text"):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             keys = [prefix(s, similarity, common).view(np.int64) for s in sets]
             sketches = [sketch(s).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "size", "keys", "sketch"])
+            whole = [xxh3_128_intdigest(s.tobytes()) for s in sets]
+            h = [pa.array(np.array([x >> at & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64)) for at in (0, 64)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int32()), *h, pa.array(keys, lists), pa.array(sketches, lists)], names=["doc_id", "hash", "size", "h0", "h1", "keys", "sketch"])
 
     return run
 
@@ -416,13 +422,14 @@ def _verified(width: int, similarity: float):
 
         group, ids, sets = None, [], []
         for b in byte_batches(batches, "text"):
-            for key, doc, text in zip(zip(b.column("cluster").to_pylist(), b.column("cell").to_pylist()), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for key, row, text in zip(zip(b.column("cluster").to_pylist(), b.column("cell").to_pylist()), b.column("m_row").to_pylist(), b.column("text").to_pylist()):
                 if key != group:
                     if len(ids) > 1:
                         yield close()
                     group, ids, sets = key, [], []
-                ids.append(doc)
-                sets.append(shingle_set(text, width))
+                if row not in ids[-1:]:  # rows that repeat in full come one behind the other
+                    ids.append(row)
+                    sets.append(shingle_set(text, width))
         if len(ids) > 1:
             yield close()
 
@@ -437,36 +444,76 @@ def _cells(count, id_column, block: int):
     return F.explode(F.when(n <= 1, F.array(F.lit(0))).otherwise(cells))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1000, key_block: int = 8192) -> DataFrame:
-    """(node, root) of the documents that have a near duplicate: root is the smallest id of the group.
+def _candidate_links(live: DataFrame, similarity: float, key_block: int) -> DataFrame:
+    """Links (u, v) of rows (row, size, keys, sketch) that span all pairs within the bounds."""
+    keyed = live.select("row", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = work_table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", F.col("n").alias("count")), "shared_keys")
+    met = join_classes(keyed, shared, ["key"], "n").join(live.select("row", "sketch"), "row")
+    dealt = met.select("key", _cells(F.col("count"), "row", key_block).alias("cell"), "row", "size", "pos", "sketch")
+    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(_candidates(similarity), "u long, v long")
+
 
-    Documents are linked if the Jaccard similarity of their sets of word shingles is at least
-    `similarity`. Documents with a null id take no part.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1000, key_block: int = 8192, volume: int = 1 << 20) -> DataFrame:
+    """(doc_id, hash, row, first_id, first_hash, first_row) of the rows of docs that have a near duplicate.
+
+    Rows are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; first is
+    the row of a group that stays: smallest id, null ids last, then first row. hash is that of the text, so
+    (doc_id, hash) tells rows apart unless they repeat in full. A cluster is checked in blocks of about
+    `block` rows and `volume` shingles that meet two by two.
     """
-    docs = docs.where(docs[id_col].isNotNull())
-    body = texts(docs, id_col, text_col)
+    body = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     common = common_shingles(body, width)
-    signed = work_table(body.mapInArrow(_signed(width, similarity, common), "doc_id long, size int, keys array<long>, sketch array<long>"), "signed")
-    keyed = signed.select("doc_id", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = work_table(keyed.groupBy("key").count().where("count > 1"), "shared_keys")
-    met = keyed.join(shared, "key").join(signed.select("doc_id", "sketch"), "doc_id")
-    dealt = met.select("key", _cells(F.col("count"), "doc_id", key_block).alias("cell"), "doc_id", "size", "pos", "sketch")
-    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    roots = components(dealt.mapInArrow(_candidates(similarity), "u long, v long"))
-    clustered = work_table(roots.select(F.col("node").alias("m_id"), F.col("root").alias("cluster")), "clustered")
-    large = work_table(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "large_clusters")
+    told = body.mapInArrow(_signed(width, similarity, common), "doc_id long, hash long, size int, h0 long, h1 long, keys array<long>, sketch array<long>")
+    signed = work_table(told.withColumn("row", F.monotonically_increasing_id()), "signed")
+    classes = signed.groupBy("h0", "h1").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = work_table(classes, "classes")
+    copies = work_table(join_classes(signed.select("row", "h0", "h1"), classes, ["h0", "h1"], "n").where("row <> kept").select("row", "kept"), "copies")
+    live = signed.join(copies.select("row"), "row", "left_anti")
+    clustered = components(_candidate_links(live, similarity, key_block)).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
+    members = clustered.join(signed.select("row", "doc_id", "hash", "size"), F.col("m_row") == F.col("row")).select("m_row", "cluster", F.col("doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "size")
+    members = work_table(members, "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(F.col("size").cast("long")) / F.lit(volume))).cast("int")
+    large = work_table(members.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).where("blocks > 1").select("cluster", "n", "blocks"), "large_clusters")
     if large.isEmpty():
-        members = clustered.withColumn("size", F.lit(1))
+        placed = members.withColumn("blocks", F.lit(1))
     else:
-        few = large.count() <= 10_000  # each has over `block` documents
-        members = clustered.join(F.broadcast(large) if few else large, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    members = work_table(members.select("m_id", "cluster", "size"), "members")
-    told = body.join(members, F.col("doc_id") == F.col("m_id")).select("cluster", _cells(F.col("size"), "doc_id", block).alias("cell"), "doc_id", "text")
-    told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
-    return components(told.mapInArrow(_verified(width, similarity), "u long, v long"))
+        placed = join_classes(members, large, ["cluster"], "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = work_table(placed.select("m_row", "cluster", "m_id", "m_hash", _cells(F.col("blocks"), "m_row", 1).alias("cell")), "placed")
+    told = body.join(placed, body.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))).select("cluster", "cell", "m_row", "text")
+    told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "m_row")
+    found = components(told.mapInArrow(_verified(width, similarity), "u long, v long"))
+    kept = classes.select("kept", "n").join(found, F.col("kept") == F.col("node"), "left").select("kept", "n", F.coalesce("root", "kept").alias("root"))
+    kept = work_table(kept, "class_roots")
+    alone = kept.where("root = kept").select(F.col("kept").alias("node"), "root")  # also in found if others are alike
+    roots = found.unionByName(alone).distinct().unionByName(join_classes(copies, kept, ["kept"], "n").select(F.col("row").alias("node"), "root"))
+    named = roots.join(signed.select("row", "doc_id", "hash"), F.col("node") == F.col("row")).select("doc_id", "hash", "row", "root")
+    named = work_table(named, "grouped")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash")).alias("f")
+    first = work_table(named.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")).select("root", "n", F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"), F.col("f.row").alias("first_row")), "firsts")
+    out = work_table(join_classes(named, first, ["root"], "n").drop("root"), "groups")
+    discard(signed, classes, copies, members, large, placed, kept, named, first)
+    return out
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1000, key_block: int = 8192) -> DataFrame:
+    """(node, root) of the ids of documents that have a near duplicate: root is the smallest id of the group."""
+    return similar_groups(docs, id_col, text_col, width, similarity, block, key_block).select(F.col("doc_id").alias("node"), F.col("first_id").alias("root"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without those that have a near duplicate with a smaller id; all columns."""
-    later = work_table(similar_components(docs, id_col, text_col, width, similarity).where("node <> root").select(F.col("node").alias("_later")), "later")
-    return docs.join(later, docs[id_col].cast("long") == F.col("_later"), "left_anti")
+    """The rows of docs without those that have a near duplicate which comes first (smallest id, null ids
+    last); all columns, whatever their names. Rows are told apart by id and text, so another text under the id
+    of a row that goes stays; of rows that repeat both, one stays."""
+    groups = similar_groups(docs, id_col, text_col, width, similarity)
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    id_, hash_ = fresh(docs, "_id", "_hash")
+    named = groups.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), same.alias("same"), (F.col("row") == F.col("first_row")).alias("first"))
+    on = lambda keys: docs[id_col].cast("long").eqNullSafe(keys[id_]) & (F.xxhash64(docs[text_col].cast("string")) == keys[hash_])
+    gone = work_table(named.where("not same").select(id_, hash_).distinct(), "gone")
+    again = work_table(named.where("same and not first").select(id_, hash_).distinct(), "again")
+    out = docs.join(gone, on(gone), "left_anti")
+    if again.isEmpty():
+        return out
+    once = docs.join(again, on(again), "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(again, on(again), "left_anti").unionByName(once)
