@@ -7,7 +7,8 @@ also remembers the chunks it has met (both bounded in bytes; a chunk in neither
 the ids never depend on what is remembered).
 
 Joins are repaired by re-encoding. A lone space between two letters or digits always starts a token
-group of the split pattern, whatever stands around it, so to its right and left the ids of a chunk
+group of the split pattern, whatever stands around it, and so does a punctuation mark (no apostrophe) behind a letter
+or digit, which texts without spaces have too; to its right and left the ids of a chunk
 alone and of the whole text agree. Between the last such place of one chunk and the first of the
 next, the text is encoded again; a chunk that has none is taken into the re-encoded part, which grows
 until a place of agreement follows. The end-of-text string is cut out first, as added tokens are.
@@ -33,8 +34,8 @@ from .common import SPECIAL, bpe, byte_batches, special_id, texts, tokenizer_pat
 #: Average, smallest and largest chunk in bytes.
 MASK_BITS, SMALLEST, LARGEST = 10, 256, 8192
 GEAR = np.uint64(0x9E3779B97F4A7C15)
-#: Where ids of a part and of the whole agree.
-AGREE = re.compile(r"[^\W_] (?=[^\W_])")
+#: Where ids of a part and of the whole agree: behind a match.
+AGREE = re.compile(r"[^\W_](?= [^\W_]|[-.,;:!?()\[\]{}<>/\"。、，．！？：；・「」『』（）【】《》…—–،؛؟।])")
 
 
 def borders(data: bytes) -> list[int]:
@@ -90,16 +91,14 @@ def parts(chunk: str, enc) -> tuple[str, list[int] | None, str]:
     first = AGREE.search(chunk)
     if first is None:
         return chunk, None, ""
-    a = first.start() + 1
-    z = len(chunk)
-    while True:  # the last place, looked for from the end
-        at = chunk.rfind(" ", a, z)
-        if at <= a:
-            at = a
+    a = at = first.end()
+    size = 64
+    while size < 4 * len(chunk):  # the last place, looked for in ever longer ends
+        for m in AGREE.finditer(chunk, max(a, len(chunk) - size)):
+            at = m.end()
+        if at > a:
             break
-        if AGREE.match(chunk, at - 1):
-            break
-        z = at
+        size *= 4
     return chunk[:a], enc.encode_ordinary(chunk[a:at]), chunk[at:]
 
 

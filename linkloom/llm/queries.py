@@ -36,7 +36,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.replace_entities(documents(spark, sf_dir))
+    out = pii.replace_entities(documents(spark, sf_dir), pii.session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.col("_entities.kind"))), ",")
     return out.select("doc_id", "text", F.size("_entities").alias("n_entities"), kinds.alias("kinds"))
 
@@ -67,7 +67,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.conversation_digests(chat_format.format_turns(rows))
+    typed = rows.withColumn("text", F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))))
+    return chat_format.conversation_digests(chat_format.format_turns(typed, parts=True))
 
 
 def queries() -> dict:
@@ -92,7 +93,8 @@ def oracle_sql() -> dict[str, str]:
                     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
                     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                     sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-                    CAST(sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS BIGINT) + CASE WHEN conv_id = -1 THEN 4 ELSE 0 END AS formatted_chars
+                    CAST(sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))) AS BIGINT) + CAST(sum(length(text) - length(regexp_replace(text, '<(\\\\*\\|)', '\\1', 'g'))) AS BIGINT) AS formatted_chars,
+                    0::BIGINT AS n_attachments, 0::BIGINT AS attached_tokens
                 FROM m GROUP BY conv_id)
             SELECT * FROM a""",
         "op8_embedding_near_dedup": """

@@ -29,9 +29,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import byte_batches, texts, work_table
+from .common import byte_batches, byte_slices, texts, work_table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word prefixes that are features; "^" marks them.
@@ -236,8 +236,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gold = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("label"))
     gold = work_table(gold.orderBy(F.xxhash64("l_id")).limit(max_rows), "gold")
     rows = texts(docs, id_col, text_col)
-    sample = rows.join(F.broadcast(gold), F.col("doc_id") == F.col("l_id")).select("label", "text")  # at most max_rows short rows
+    sample = rows.join(F.broadcast(gold), F.col("doc_id") == F.col("l_id")).select("label", "text", "l_id", F.xxhash64("text").alias("hash"))  # at most max_rows narrow rows
     sample = work_table(sample, "sample")
+    if sample.count() > max_rows:  # ids that repeat in docs: so many rows all the same
+        place = F.row_number().over(Window.partitionBy("l_id", "hash").orderBy("label"))
+        once = sample.withColumn("n", place).where("n = 1").drop("n")
+        some = once.select("l_id", "hash").orderBy(F.xxhash64("l_id", "hash"), "l_id", "hash").limit(max_rows)
+        sample = work_table(once.join(F.broadcast(some), ["l_id", "hash"]), "sample")
     counted = sample.mapInArrow(_feature_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sums = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = max(1, sums.get(1, 0)), max(1, sums.get(0, 0))
@@ -278,7 +283,7 @@ def scorer(spark, model: Model):
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         m = shared.value
-        return pa.array([m.score(t) for t in text.to_pylist()], pa.float64())
+        return pa.array([m.score(t) for part in byte_slices(text) for t in part], pa.float64())
 
     return score
 
@@ -292,6 +297,4 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.where(scorer(docs.sparkSession, model)(docs[text_col]) < THRESHOLD)
