@@ -165,6 +165,31 @@ def test_similar_components_find_appended_prepended_and_replaced_blocks(spark, k
     assert got == {x: a for a, b in pairs for x in (a, b)}
 
 
+CLASH = "doc_id long, text string, _later string, _k_id int, _id string, _hash string, row int, hash int, label string"
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    t, u = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, t), (2, t), (2, u), (3, u.replace("v59", "z")), (3, u.replace("v59", "z")), (None, t), (None, "alone here"), (7, None), (8, ""), (9, "a b"), (9, "A  b")]
+    df = spark.createDataFrame([(i, x, "later", 5, "i", "h", 1, 2, "l") for i, x in rows], CLASH)
+    kept = sd.keep_one_each(df)
+    assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {("later", 5, "i", "h", 1, 2, "l")}
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got in (sorted([(1, t), (2, u), (None, "alone here"), (7, None), (9, x)], key=str) for x in ("a b", "A  b"))
+    only = [(3, t), (3, t), (3, t), (4, "x")]
+    assert sorted((r.doc_id, r.text) for r in sd.keep_one_each(spark.createDataFrame([(i, x, "", 5, "", "", 1, 2, "") for i, x in only], CLASH)).collect()) == [(3, t), (4, "x")]
+    unique = xd.keep_unique(df)
+    assert unique.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in unique.collect()) == sorted([(1, t), (2, u), (3, u.replace("v59", "z")), (0, "alone here"), (7, ""), (9, "a b"), (9, "A  b")])
+
+
+def test_many_copies_and_alike(spark):
+    t = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, t) for i in range(2500)] + [(5000 + i, (t + " ").replace(f"w{i % 80} ", f"n{i} ")) for i in range(120)] + [(9000, "else")]
+    got = {r.node: r.root for r in sd.similar_components(docs(spark, rows).repartition(5), block=20).collect()}
+    alike = [i for i, x in rows if i != 9000]
+    assert got == dict.fromkeys(alike, 0)
+
+
 def brute_vectors(rows, t=0.9):
     fine = {i: np.array(v, float) for i, v in enumerate(rows) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= t

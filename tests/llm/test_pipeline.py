@@ -13,12 +13,67 @@ def test_stages(spark, tmp_path):
         at = stage(spark, at, str(tmp_path))
         assert at.columns == docs.columns, name
     got = {r.doc_id: r.text for r in at.collect()}
-    assert set(got) == {2, 4, 5, 6} or set(got) == {3, 4, 5, 6} or set(got) == {2, 4, 5, 7} or set(got) == {2, 4, 5, 6, 7} - {7}
+    assert set(got) == {2, 4, 5, 6}  # 2 has more characters than 1, 3 is like 2, 6 comes before 7
     assert "ann@site.org" not in got[4] and got[5] == "quite another text"
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(got) and all(r.offset + r.length <= 2048 for r in packed)
 
 
+def test_rows_equal_brute_force(spark, tmp_path):
+    """All stages over made documents: which rows stay, what is in them, and what is packed."""
+    import random
+    import re
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from linkloom.llm import pii
+    from linkloom.llm.common import tokenizer_path
+
+    g = random.Random(11)
+    vocab = ["".join(g.choices("abcdefghijklm", k=g.randint(3, 8))) for _ in range(600)]
+    rows, labels = [], []
+    for i in range(400):
+        w, y = g.choices(vocab, k=g.randint(30, 120)), int(g.random() < 0.15)
+        if y:
+            for _ in range(g.randint(3, 6)):
+                w[g.randrange(len(w))] = g.choice(["zvile", "zrotten", "zlousy", "znasty"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, y))
+    clean = [r for r, (_, _, y) in zip(rows, labels) if not y]
+    for n, (i, t) in enumerate(clean[:60]):
+        w = t.split(" ")
+        rows.append((1000 + n, [t, t.replace(" ", "  "), " ".join([*w[:3], "other", *w[4:]]), t + " write to a.b@c.org or +1 098 555 0174"][n % 4]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    left = {i: t for i, t in rows if model.score(t) < tx.THRESHOLD}
+    assert sum((i in left) == (not y) for i, _, y in labels) > 390
+    groups = {}
+    for i, t in left.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+    left = {i: left[i] for i in (min(x)[1] for x in groups.values())}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in left.items() for w in [t.lower().split()]}
+    root = {i: i for i in left}
+    for _ in range(5):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[b] = min(root[a], root[b])
+    left = {i: t for i, t in left.items() if root[i] == i}
+    spark.conf.set("spark.linkloom.pii.key", "00" * 16)
+    try:
+        packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.linkloom.pii.key")
+    s = pii.Surrogates(bytes(16))
+    coder = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want = {i: coder.encode(s.text(t)[0], add_special_tokens=False).ids + [0] for i, t in left.items()}
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in packed) == sorted((i, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x))) for i, x in want.items())
+    assert all(r.offset + r.length <= 2048 for r in packed)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "pii_surrogates", "best_fit_packing"]
     assert tx.THRESHOLD == 0.3
