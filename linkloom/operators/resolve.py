@@ -1,15 +1,17 @@
 """The three similarity joins of phrases with titles: longest common subsequence, dense, sparse features.
 
-All of them compare each distinct phrase once, however many notes hold it, and join the answers back.
-Titles are sent to all executors only while their number is checked to be small; otherwise the same
-plans run as shuffled joins, and the dense one meets titles block by block.
+Titles are sent to all executors only while their number and bytes are checked to be small. Then the lexical
+join needs no shuffle: a task looks its phrases up in an index of titles by word and length. Otherwise the same
+comparisons run as a shuffled join on words, and the dense join meets titles block by block.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import normalize
 
@@ -51,44 +53,174 @@ def top_per_phrase(edges: DataFrame, k: int, *tie: str | Column) -> DataFrame:
     return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """df with a broadcast hint if it is checked to have at most limit rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: What may be sent to all executors: so many rows, so many bytes of text.
+MOST_ROWS, MOST_BYTES = 50_000, 16 << 20
+
+
+def is_small(df: DataFrame, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes of text."""
+    texts = [F.octet_length(f.name).cast("long") for f in df.schema if f.dataType.simpleString() == "string"]
+    total = F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0).cast("long")))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), total.alias("size")).first()
+    return got["n"] <= rows and (got["size"] or 0) <= size
+
+
+def small(df: DataFrame, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is checked to be small."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
-def letter_masks(text: str) -> tuple[int, int, int]:
-    """Which letters a text has how often: a bit for each of the first four of 32 kinds of character, in two
+def letter_masks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which letters texts have how often: a bit for each of the first four of 32 kinds of character, in two
     words, and how many characters are beyond that. What two texts have in common bounds their subsequence."""
-    counts = [0] * 32
-    for c in text:
-        counts[ord(c) & 31] += 1
-    masks, more = [0, 0], 0
-    for kind, n in enumerate(counts):
-        if n:
-            masks[kind >> 4] |= (1 << min(n, 4)) - 1 << (kind & 15) * 4
-            more += max(0, n - 4)
-    return *(m - (1 << 64) if m >> 63 else m for m in masks), more
+    n = len(texts)
+    row = np.repeat(np.arange(n), list(map(len, texts)))
+    kind = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") & 31
+    counts = np.bincount(row * 32 + kind, minlength=32 * n).reshape(n, 32)
+    bits = ((1 << np.minimum(counts, 4)) - 1).astype(np.uint64) << (np.arange(32, dtype=np.uint64) % 16 * np.uint64(4))
+    return bits[:, :16].sum(1, dtype=np.uint64), bits[:, 16:].sum(1, dtype=np.uint64), np.maximum(counts - 4, 0).sum(1)
 
 
 def masks_column(text: Column | str) -> Column:
     def run(x: pa.Array) -> pa.Array:
-        got = [letter_masks(t) for t in x.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "more"])
+        a, b, more = letter_masks(x.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(more, pa.int32())], names=["a", "b", "more"])
 
     return F.arrow_udf(run, "struct<a:long,b:long,more:int>").asNondeterministic()(text)
 
 
+class TitleIndex:
+    """Normalised titles by word and length, for batches of normalised phrases.
+
+    A phrase meets the titles that share a word with it and whose length can reach the threshold (a range of the
+    word's titles, which are sorted by length); letter masks cut most of them in whole arrays; the rest
+    is measured one by one.
+    """
+
+    def __init__(self, titles: list[str], threshold: float):
+        self.titles, self.threshold = titles, threshold
+        self.size = np.array(list(map(len, titles)), np.int64)
+        self.a, self.b, self.more = letter_masks(titles)
+        self.words: dict[str, int] = {}
+        pairs = [(self.words.setdefault(w, len(self.words)), t) for t, text in enumerate(titles) for w in dict.fromkeys(text.split(" "))]
+        word, title = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        key = word << 32 | self.size[title]
+        order = np.argsort(key, kind="stable")
+        self.key, self.title = key[order], title[order]
+        self.places: dict[int, dict[str, int]] = {}
+
+    def _subsequence(self, phrase: str, t: int) -> int:
+        places = self.places.get(t)
+        if places is None:
+            places = self.places[t] = {}
+            for i, c in enumerate(self.titles[t]):
+                places[c] = places.get(c, 0) | 1 << i
+        full = (1 << len(self.titles[t])) - 1
+        row = full
+        for c in phrase:
+            hit = row & places.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(self.titles[t]) - row.bit_count()
+
+    def _near(self, phrases: list[str], p: np.ndarray, pos: np.ndarray, t: np.ndarray, masks, size: np.ndarray) -> list[tuple]:
+        longer = self.threshold * np.maximum(size[p], self.size[t]) - 1e-9
+        common = np.bitwise_count(masks[0][p] & self.a[t]).astype(np.int64) + np.bitwise_count(masks[1][p] & self.b[t]) + np.minimum(masks[2][p], self.more[t])
+        at = np.nonzero(common * CONTAINS_BOOST >= longer)[0]
+        _, first = np.unique(p[at] * len(self.titles) + t[at], return_index=True)  # a pair counts at the first word it shares
+        at, out = at[first], []
+        for i, k, j, enough in zip(p[at].tolist(), pos[at].tolist(), t[at].tolist(), (common >= longer)[at].tolist()):
+            phrase, title = phrases[i], self.titles[j]
+            inside = title in phrase
+            if not (inside or enough):
+                continue
+            if inside or phrase in title:
+                s = min(len(phrase), len(title)) / max(len(phrase), len(title))
+            else:
+                s = self._subsequence(phrase, j) / max(len(phrase), len(title))
+            s = min(1.0, s * (EXACT_BOOST if phrase == title else CONTAINS_BOOST if inside else 1.0))
+            if s >= self.threshold:
+                out.append((i, -s, k, j))
+        return out
+
+    def match(self, phrases: list[str], pairs: int = 2_000_000) -> list[tuple]:
+        """(phrase, -similarity, place of the first shared word, title), sorted; about `pairs` pairs at a time."""
+        flat = " ".join(phrases).split(" ")
+        words = np.fromiter((x.count(" ") + 1 for x in phrases), np.int64, len(phrases))
+        p = np.repeat(np.arange(len(phrases)), words)
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(words) - words, words) if phrases else p
+        word = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))[: len(p)]
+        known = word >= 0
+        if not known.any():
+            return []
+        p, pos, word = p[known], pos[known], word[known]
+        size, masks = np.array(list(map(len, phrases)), np.int64), letter_masks(phrases)
+        ratio = self.threshold / CONTAINS_BOOST
+        low, high = np.ceil(size * ratio - 1e-6).astype(np.int64), np.floor(size / ratio + 1e-6).astype(np.int64)
+        start, end = np.searchsorted(self.key, word << 32 | low[p]), np.searchsorted(self.key, (word << 32 | high[p]) + 1)
+        count = end - start
+        total = np.cumsum(count)
+        out, at = [], 0
+        while at < len(p):
+            z = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs, "right")))
+            while z < len(p) and p[z] == p[z - 1]:  # a phrase isn't cut
+                z += 1
+            n = count[at:z]
+            rows = np.repeat(np.arange(at, z), n)
+            t = self.title[np.repeat(start[at:z] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            out += self._near(phrases, p[rows], pos[rows], t, masks, size)
+            at = z
+        return sorted(out)
+
+
+def _listed(titles: DataFrame) -> DataFrame:
+    return titles.select("title", "ord", normalize(F.col("title")).alias("nt")).where("nt <> ''")
+
+
+def _sent(spark, listed: DataFrame):
+    """Titles in order of ord, broadcast: (title, ord, nt). Only for what is checked to be small."""
+    rows = [tuple(r) for r in listed.orderBy("ord", "title").collect()]
+    return spark.sparkContext.broadcast(rows), max((len(r[2]) for r in rows), default=0)
+
+
+def longest_phrase(titles: DataFrame, threshold: float = LCS_THRESHOLD) -> int:
+    """No normalised phrase with more characters can be near any of the titles."""
+    longest = titles.agg(F.max(F.length(normalize(F.col("title"))))).first()[0] or 0
+    return int(longest * CONTAINS_BOOST / threshold + 1e-6)
+
+
 def lcs_matches(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_THRESHOLD, per_phrase: int = PER_PHRASE) -> DataFrame:
     """(np, title, ord, similarity): for each normalised phrase its most similar titles; phrases: (np), titles: (title, ord).
 
-    Pairs share at least one word; each is made once, at the first word they share. Pairs whose lengths or
-    letters can't reach the threshold are cut in the join itself; equal and containing pairs have closed
-    forms; only the rest goes through the subsequence function.
+    Pairs share at least one word; each counts at the first word they share. Equal and containing pairs have
+    closed forms; pairs whose lengths or letters can't reach the threshold are cut before they are measured.
+    Few titles are looked up in every task; many are joined by word.
     """
+    listed = _listed(titles)
+    if not is_small(listed):
+        return _lcs_joined(phrases, listed, threshold, per_phrase)
+    shared, longest = _sent(phrases.sparkSession, listed)
+    kind = dict(listed.dtypes)["ord"]
+    short = phrases.select("np").where((F.col("np") != "") & (F.length("np") <= int(longest * CONTAINS_BOOST / threshold + 1e-6))).distinct()
+
+    def run(batches):
+        index = TitleIndex([t[2] for t in shared.value], threshold)
+        for b in batches:
+            texts, out, last, n = b.column("np").to_pylist(), [], -1, 0
+            for i, s, _, t in index.match(texts):
+                n = n + 1 if i == last else 1
+                last = i
+                if n <= per_phrase:
+                    out.append((texts[i], shared.value[t][0], shared.value[t][1], -s))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.string(), _arrow(kind), pa.float64()))], names=["np", "title", "ord", "similarity"])
+
+    return short.mapInArrow(run, f"np string, title string, ord {kind}, similarity double")
+
+
+def _lcs_joined(phrases: DataFrame, listed: DataFrame, threshold: float, per_phrase: int) -> DataFrame:
+    """The same as a join on words."""
     words = lambda c: F.split(c, " ")
-    t = titles.select("title", "ord", normalize(F.col("title")).alias("nt")).where("nt <> ''")
-    t = t.select("title", "ord", "nt", F.array_distinct(words("nt")).alias("tw"), masks_column("nt").alias("tm"))
-    tw = small(t.select("title", "ord", "nt", "tw", "tm", F.explode("tw").alias("word")))
+    t = listed.select("title", "ord", "nt", F.array_distinct(words("nt")).alias("tw"), masks_column("nt").alias("tm"))
+    tw = t.select("title", "ord", "nt", "tw", "tm", F.explode("tw").alias("word"))
     p = phrases.where("np <> ''").distinct().select("np", words("np").alias("pw"), masks_column("np").alias("pm"))
     pw = p.select("np", "pw", "pm", F.posexplode("pw").alias("pos", "word"))
     a, b = F.length("np"), F.length("nt")
@@ -104,7 +236,7 @@ def lcs_matches(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_TH
     measured = pairs.withColumn("s", F.coalesce("closed", lcs_column(F.when(open_pair, F.col("np")), F.when(open_pair, F.col("nt")))))
     boost = F.when(F.col("np") == F.col("nt"), EXACT_BOOST).when(inside, CONTAINS_BOOST).otherwise(1.0)
     near = measured.withColumn("similarity", F.least(F.lit(1.0), F.col("s") * boost)).where(F.col("similarity") >= threshold)
-    return top_per_phrase(near, per_phrase, "pos", "ord").select("np", "title", "ord", "similarity")
+    return top_per_phrase(near, per_phrase, "pos", "ord", "title").select("np", "title", "ord", "similarity")
 
 
 def lcs_pairs(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_THRESHOLD, per_phrase: int = PER_PHRASE) -> DataFrame:
@@ -121,17 +253,42 @@ def attach(phrases: DataFrame, pairs: DataFrame, resolver: str, source_name: str
 
 
 def resolve_lcs(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_THRESHOLD, per_phrase: int = PER_PHRASE) -> DataFrame:
-    """Edges of phrases (note_id, source_name, phrase, score, ...) with titles (title, ord).
+    """Edges of phrases (note_id, source_name, phrase, score, ...) with titles (title, ord): all columns of
+    phrases, title, ord, similarity, resolver.
 
-    One more title than per_phrase is kept per phrase until a note's own title is out, so it never takes
-    the place of another.
+    The per_phrase most similar titles of a phrase, of equals those with the earlier shared word, then with the
+    smaller ord; a note's own title doesn't take a place. With few titles phrases are resolved where they are.
     """
-    keyed = phrases.withColumn("np", normalize(F.col("phrase")))
-    matches = lcs_matches(keyed.select("np"), titles, threshold, per_phrase + 1)
-    own = normalize(F.col("source_name"))
-    edges = keyed.join(matches, "np").where(normalize(F.col("title")) != own).withColumn("resolver", F.lit("lcs")).drop("np")
-    w = Window.partitionBy("note_id", "phrase").orderBy(F.col("similarity").desc(), "ord")
-    return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_phrase).drop("_r")
+    listed = _listed(titles)
+    keyed = phrases.withColumn("_np", normalize(F.col("phrase"))).withColumn("_own", normalize(F.col("source_name")))
+    if not is_small(listed):
+        matches = _lcs_joined(keyed.select(F.col("_np").alias("np")), listed, threshold, per_phrase + 1)
+        edges = keyed.join(matches, F.col("_np") == F.col("np")).where(normalize(F.col("title")) != F.col("_own")).withColumn("resolver", F.lit("lcs"))
+        w = Window.partitionBy("note_id", "phrase").orderBy(F.col("similarity").desc(), "ord", "title")
+        return edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_phrase).select(*phrases.columns, "title", "ord", "similarity", "resolver")
+    shared, longest = _sent(phrases.sparkSession, listed)
+    kind, columns = dict(listed.dtypes)["ord"], phrases.columns
+    short = keyed.where((F.col("_np") != "") & (F.length("_np") <= int(longest * CONTAINS_BOOST / threshold + 1e-6)))
+    schema = T.StructType([*phrases.schema, T.StructField("title", T.StringType()), T.StructField("ord", listed.schema["ord"].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        index = TitleIndex([t[2] for t in shared.value], threshold)
+        for b in batches:
+            rows: dict[str, list[int]] = {}
+            for i, text in enumerate(b.column("_np").to_pylist()):
+                rows.setdefault(text, []).append(i)
+            texts, own, out, taken = list(rows), b.column("_own").to_pylist(), [], {}
+            for i, s, _, t in index.match(texts):
+                title, order, nt = shared.value[t]
+                for row in rows[texts[i]]:
+                    if nt != own[row] and (n := taken.get(row, 0)) < per_phrase:
+                        taken[row] = n + 1
+                        out.append((row, title, order, -s))
+            kept = b.select(columns).take(pa.array([o[0] for o in out], pa.int64()))
+            added = [pa.array([o[c] for o in out], t) for c, t in ((1, pa.string()), (2, _arrow(kind)), (3, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], names=[*columns, "title", "ord", "similarity"])
+
+    return short.mapInArrow(run, schema).withColumn("resolver", F.lit("lcs"))
 
 
 def dense_pairs(left: DataFrame, right: DataFrame, threshold: float = DENSE_THRESHOLD, k: int = PER_PHRASE, block: int = 4096, same: bool = False) -> DataFrame:
