@@ -113,7 +113,8 @@ def is_stopword(word: Column) -> Column:
 
 
 def guess_pos(word: Column) -> Column:
-    """noun, adj, verb, adverb or unknown, by endings; the first rule that holds decides."""
+    """noun, adj, verb, adverb or unknown, by endings; the first rule that holds decides (their order is fixed:
+    results depend on it)."""
     w = F.lower(word)
     n = F.length(w)
     ends = lambda s: w.endswith(s)
@@ -132,6 +133,34 @@ def guess_pos(word: Column) -> Column:
     )
 
 
+def duration(seconds: Column) -> Column:
+    """"45s", "2m 5s" or "1h 1m 0s" of a number of seconds, cut to whole ones; "?" for what is no length of time."""
+    x = seconds.cast("double")
+    s = F.floor(F.when((x >= 0) & (x < float("inf")), x))
+    h, m, rest = (n.cast("string") for n in (F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+    out = F.when(s >= 3600, F.concat(h, F.lit("h "), m, F.lit("m "), rest, F.lit("s"))).when(s >= 60, F.concat(m, F.lit("m "), rest, F.lit("s")))
+    return F.coalesce(out, F.concat(rest, F.lit("s")), F.lit("?"))
+
+
+def pos_of(word: str) -> str:
+    """guess_pos of a single word."""
+    w = word.lower()
+    n = len(w)
+    if n <= 3:
+        return "unknown"
+    if w.endswith("ly") and n > 4:
+        return "adverb"
+    if w.endswith("ing") and n > 5:
+        return "noun"
+    if any(w.endswith(s) and n > len(s) + 2 for s in VERB_SUFFIXES):
+        return "verb"
+    if w.endswith(tuple(NOUN_SUFFIXES)):
+        return "noun"
+    if w.endswith(tuple(ADJECTIVE_SUFFIXES)):
+        return "adj"
+    return "noun" if word[0] != word[0].lower() else "unknown"
+
+
 def is_noun_phrase(words: Column) -> Column:
     """No word guessed a verb or adverb, and the last one a noun or unknown."""
     pos = F.transform(words, guess_pos)

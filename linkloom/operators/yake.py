@@ -1,12 +1,27 @@
-"""Statistical keyphrases (a YAKE variant) as aggregates and windows over tokens."""
+"""Statistical keyphrases (a YAKE variant): statistics of terms as aggregates over tokens, and phrases.
+
+A note's keyphrases depend on the note and on tables of titles and rare terms, so note_phrases makes them
+note by note in Arrow batches, without a shuffle; phrases does the same with aggregates and joins, for
+tables that are too large to be sent.
+"""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import guess_pos, is_noun_phrase, is_stopword
+from ..functions.text import guess_pos, is_noun_phrase, is_stopword, pos_of
+from ..functions.words import STOPWORDS
+from .markdown import note_sentences, preprocess
+from .resolve import is_small
 from .spans import ngrams
 
+#: Raw scores that agree to so many decimals are a tie.
+TIE = 9
 WINDOW, ALPHA, NOTE_BOOST, NOUN_BOOST, TOP_N, MAX_N = 3, 0.5, 5.0, 4.0, 200, 10
 
 
@@ -110,9 +125,136 @@ def phrases(sentences: DataFrame, titles: DataFrame | None = None, tfidf: DataFr
     return normalize_scores(rows, top_n)
 
 
+class NoteTerms:
+    """Weights of a note's terms: the same numbers as term_stats and term_scores."""
+
+    def __init__(self, sentences: list[dict], window: int = WINDOW, alpha: float = ALPHA):
+        stop, stats = _stopwords(), {}
+        for sentence in sentences:
+            kept = [t for t in sentence["tokens"] if t["lower"] not in stop]
+            terms = [t["lower"] for t in kept]
+            for i, t in enumerate(kept):
+                s = stats.get(terms[i])
+                if s is None:
+                    s = stats[terms[i]] = [0, 0, 0, [], set(), set(), 0, 0]
+                word = t["original"]
+                s[0] += 1
+                s[1] += "A" <= word[0] <= "Z"
+                s[2] += len(word) > 1 and word.isupper()
+                s[3].append(sentence["sent_idx"])
+                left, right = terms[max(0, i - window) : i], terms[i + 1 : i + 1 + window]
+                s[4].update(left)
+                s[5].update(right)
+                s[6] += len(left)
+                s[7] += len(right)
+        self.h: dict[str, float] = {}
+        if not stats:
+            return
+        tfs = [s[0] for s in stats.values()]
+        mean, top = math.fsum(tfs) / len(tfs), max(tfs)
+        spread = math.sqrt(math.fsum((x - mean) ** 2 for x in tfs) / len(tfs))
+        for term, (tf, upper, caps, at, left, right, n_left, n_right) in stats.items():
+            n = len(at)
+            casing = max(upper, caps) / (1 + math.log2(1 + tf))
+            position = math.log2(3 + (at[(n - 1) // 2] + at[n // 2]) / 2)
+            frequency = tf / (mean + spread + 1)
+            related = 1 + (len(left) / max(n_left, 1) + len(right) / max(n_right, 1)) * (tf / top)
+            different = len(set(at)) / tf
+            self.h[term] = related * position / (casing + alpha * frequency / related + different / related + 1e-10)
+
+
+@lru_cache(maxsize=1)
+def _stopwords() -> frozenset[str]:
+    return frozenset(STOPWORDS)
+
+
+def _note_rows(sentences: list[dict], titles: frozenset[str], tfidf, max_n: int, top_n: int, window: int, pos: dict[str, str]) -> list[tuple]:
+    """(phrase, score, start, end, rank) of a note."""
+    stop, h = _stopwords(), NoteTerms(sentences, window).h
+    best: dict[str, tuple] = {}
+    count: Counter[str] = Counter()
+    for sentence in sentences:
+        tokens = sentence["tokens"]
+        lower, shown, boost = ([t[c] for t in tokens] for c in ("lower", "original", "boost"))
+        good = [w not in stop for w in lower]
+        for w in shown:
+            if w not in pos:
+                pos[w] = pos_of(w)
+        plain = [pos[w] not in ("verb", "adverb") for w in shown]
+        last = [pos[w] in ("noun", "unknown") for w in shown]
+        for n in range(1, min(max_n, len(tokens)) + 1):
+            for i in range(len(tokens) - n + 1):
+                z = i + n
+                if not (good[i] and good[z - 1]) or (n == 1 and len(lower[i]) < 2):
+                    continue
+                key = " ".join(lower[i:z])
+                count[key] += 1
+                b = max(boost[i:z]) + (NOUN_BOOST if last[z - 1] and all(plain[i:z]) else 0.0)
+                old = best.get(key)
+                if old is None or b > old[0]:
+                    best[key] = (b, (sentence["sent_idx"], n, i + 1), " ".join(shown[i:z]), tokens[i]["start"], tokens[z - 1]["end"])
+    rare = {t: x for t in h if (x := tfidf(t, sentences)) is not None} if tfidf else {}
+    most, rows = max(rare.values(), default=0.0), []
+    for key, (b, place, phrase, start, end) in best.items():
+        terms = [w for w in key.split(" ") if w not in stop]
+        weights = [h.get(w, 1.0) for w in terms]
+        raw = math.exp(sum(map(math.log, weights)) / len(weights)) / (max(1, count[key]) * (1 + sum(weights) / len(weights)))
+        if most > 0:
+            b += 2 * max([0.0, *(rare[w] for w in terms if w in rare)]) / most
+        if key in titles:
+            b += NOTE_BOOST
+        raw /= 1 + b
+        rows.append((round(raw, TIE), -len(phrase), place, phrase, raw, start, end))
+    rows.sort(key=lambda r: r[:4])
+    rows = rows[:top_n]
+    low, high = min((r[4] for r in rows), default=0.0), max((r[4] for r in rows), default=0.0)
+    return [(r[3], (r[4] - low) / (high - low) if high > low else 0.0, r[5], r[6], i) for i, r in enumerate(rows, 1)]
+
+
+def note_phrases(notes: DataFrame, id_col: str = "note_id", text_col: str = "text", titles: DataFrame | None = None, frequencies: DataFrame | None = None, total: int = 0, max_n: int = MAX_N, top_n: int = TOP_N, window: int = WINDOW, markdown: bool = True) -> DataFrame:
+    """(note_id, phrase, score in [0, 1], start, end, span_id, rank): lower is better.
+
+    titles: (title) gives a boost to phrases that are one; frequencies: (term, df) of `total` notes to rare terms.
+    Both are sent to all tasks if they are checked to be small; larger ones are joined, by phrases.
+    """
+    spark = notes.sparkSession
+    if not all(table is None or is_small(table, rows=300_000) for table in (titles, frequencies)):
+        sentences = note_sentences(notes, id_col, text_col, markdown)
+        rare = None if frequencies is None else tf_idf(term_stats(sentences, window), frequencies, F.lit(total))
+        return phrases(sentences, titles, rare, max_n, top_n, window)
+    known = frozenset(r[0].lower() for r in titles.select(titles.columns[0]).distinct().collect() if r[0]) if titles is not None else frozenset()
+    df = {r["term"]: r["df"] for r in frequencies.select("term", "df").collect()} if frequencies is not None else None
+    shared = spark.sparkContext.broadcast((known, df))  # checked to be small
+    kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+    names = ["phrase", "score", "start", "end", "rank"]
+
+    def run(batches):
+        known, df = shared.value
+        pos: dict[str, str] = {}
+
+        def rarity(sentences):
+            tf = Counter(t["lower"] for s in sentences for t in s["tokens"])
+            return lambda term, _: tf[term] * math.log(total / (1 + df.get(term, 0)))
+
+        for b in batches:
+            ids = b.column("note_id")
+            for k, text in enumerate(b.column("text").to_pylist()):
+                if len(pos) > 500_000:
+                    pos.clear()
+                sentences = preprocess(text, markdown)
+                rows = _note_rows(sentences, known, rarity(sentences) if df is not None else None, max_n, top_n, window, pos)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([k] * len(rows))), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["note_id", *names])
+
+    kind = dict(notes.dtypes)[id_col]
+    rows = notes.select(F.col(id_col).alias("note_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"note_id {kind}, phrase string, score double, start int, end int, rank int")
+    span = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))
+    return rows.select("note_id", "phrase", "score", "start", "end", span.alias("span_id"), "rank")
+
+
 def normalize_scores(rows: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """The top_n lowest raw scores of each note, scaled to [0, 1] over them (all 0 if they are equal)."""
-    order = Window.partitionBy("note_id").orderBy("raw", F.length("phrase").desc(), "place", "phrase")
+    order = Window.partitionBy("note_id").orderBy(F.round("raw", TIE), F.length("phrase").desc(), "place", "phrase")
     top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     note = Window.partitionBy("note_id")
     low, high = F.min("raw").over(note), F.max("raw").over(note)
