@@ -12,10 +12,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-HEADING = re.compile(r"(#{1,6})\s+(.*)")
-BOLD = re.compile(r"\*\*(.+?)\*\*")
+# What weighs tokens, a bold span within a line or a heading line (its marks, then white space in the line).
+BOLD = re.compile(r"\*\*.+?\*\*")
+HEADING = re.compile(r"^(#{1,6})(?!#)[^\S\n]", re.M)
 WORD = re.compile("[a-zA-Z0-9]+(?:['’][a-zA-Z]+)*")
-#: What is dropped, or kept in part (groups alias, plain, label), in order of priority.
+# What is dropped, or kept in part (groups alias, plain, label), in order of priority.
 RULE = re.compile(
     r"---\n.*?\n---\n?|```.*?```|`[^`\n]+`|!\[[^\]]*\]\([^)]*\)"
     r"|\[\[[^\]|]+\|(?P<alias>[^\]]+)\]\]|\[\[(?P<plain>[^\]]+)\]\]|\[(?P<label>[^\]]*)\]\([^)]*\)"
@@ -28,17 +29,19 @@ SENTENCE_TYPE = f"array<struct<sent_idx:int,tokens:{TOKEN_TYPE}>>"
 
 
 def structural_ranges(content: str) -> list[tuple[int, int, int]]:
-    """(start, end, boost): 3 for the first top heading, 2 for other headings, 1 for bold spans."""
-    out, at, titled = [], 0, False
-    for line in content.split("\n"):
-        if m := HEADING.match(line):
-            level = len(m[1])
-            top = level == 1 and not titled
-            titled = titled or top
-            out.append((at + level + 1, at + len(line), 3 if top else 2))
-        out += [(at + m.start(), at + m.end(), 1) for m in BOLD.finditer(line)]
-        at += len(line) + 1
-    return out
+    """(start, end, boost), by start: 3 for the first top heading, 2 for other headings, 1 for bold spans.
+
+    A heading's text begins one character behind its marks and ends with the line of the marks.
+    """
+    bold = [(*m.span(), 1) for m in BOLD.finditer(content)]
+    heads = [(m.end(1) + 1, _line_end(content, m.end(1)), len(m[1])) for m in HEADING.finditer(content)]
+    title = next((h for h in heads if h[2] == 1), None)
+    return sorted([*bold, *((a, z, 3 if (a, z, n) == title else 2) for a, z, n in heads)])
+
+
+def _line_end(content: str, at: int) -> int:
+    end = content.find("\n", at)
+    return len(content) if end < 0 else end
 
 
 def boost_of(start: int, end: int, ranges: list[tuple[int, int, int]]) -> int:
@@ -101,10 +104,10 @@ def _schema() -> pa.DataType:
     return pa.list_(pa.struct([("sent_idx", pa.int32()), ("tokens", pa.list_(token))]))
 
 
-def preprocess_column(content: Column | str) -> Column:
-    """Sentences of Markdown, in Arrow batches."""
+def preprocess_column(content: Column | str, markdown: bool = True) -> Column:
+    """Sentences of Markdown (or of plain text), in Arrow batches."""
     def run(c: pa.Array) -> pa.Array:
-        return pa.array([preprocess(x) for x in c.to_pylist()], _schema())
+        return pa.array([preprocess(x, markdown) for x in c.to_pylist()], _schema())
 
     return F.arrow_udf(run, SENTENCE_TYPE)(content)
 
@@ -117,9 +120,9 @@ def strip_column(content: Column | str) -> Column:
     return F.arrow_udf(run, "string")(content)
 
 
-def note_sentences(notes: DataFrame, id_col: str = "note_id", content_col: str = "content") -> DataFrame:
-    """(note_id, sent_idx, tokens) of Markdown notes."""
-    s = F.explode(preprocess_column(content_col)).alias("s")
+def note_sentences(notes: DataFrame, id_col: str = "note_id", content_col: str = "content", markdown: bool = True) -> DataFrame:
+    """(note_id, sent_idx, tokens) of Markdown notes (or of plain text)."""
+    s = F.explode(preprocess_column(content_col, markdown)).alias("s")
     return notes.select(F.col(id_col).alias("note_id"), s).select("note_id", "s.sent_idx", "s.tokens")
 
 
