@@ -106,17 +106,27 @@ def reservoir(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     return items.select(slot.cast("long").alias("slot"), i.alias("i"), "item").where(F.col("slot") < capacity).groupBy("slot").agg(F.max("i").alias("i"), F.max_by("item", "i").alias("item"))
 
 
+def _drawn(seed: int, key: str) -> Column:
+    return F.md5(F.concat_ws(" ", F.lit(seed).cast("string"), F.col(key).cast("string")))
+
+
+def first_unseen(phrases: DataFrame, seen: DataFrame, quota: int) -> DataFrame:
+    """(phrase, ord): the first `quota` distinct phrases in order that are not in seen (phrase). phrases: (phrase, ord)."""
+    new = phrases.where("phrase is not null").groupBy("phrase").agg(F.min("ord").alias("ord"))
+    return new.join(seen.select("phrase").distinct(), "phrase", "left_anti").orderBy("ord", "phrase").limit(quota)
+
+
 def split_train(rows: DataFrame, key: str, seed: int = 0, share: float = 0.002, most: int = 4096) -> DataFrame:
     """rows with is_val: min(most, max(1, floor(n * share))) of them by a seeded hash order."""
     n = rows.count()
     n_val = min(most, max(1, int(n * share)))
-    picked = rows.select(key).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n_val).withColumn("is_val", F.lit(True))
+    picked = rows.select(key).orderBy(_drawn(seed, key), key).limit(n_val).withColumn("is_val", F.lit(True))
     return rows.join(picked, key, "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, in a seeded hash order."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(_drawn(seed, key), key).limit(n)
 
 
 def sentence_corpus(abstracts: DataFrame, text_col: str = "abstract", most: int = 1_000_000) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .resolve import small
+
 
 def confusion(predicted: DataFrame, truth: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(system, note_id, tp, fp, fn) of distinct (system, note_id, target) against (note_id, target).
@@ -74,13 +76,25 @@ def percentile_at(sorted_values: Column, q: float) -> Column:
 def latency_summary(times: DataFrame, *by: str, value: str = "ms") -> DataFrame:
     """n, mean, p50, p95, p99, max and sum per group, to two decimals.
 
-    Ranks come from a window over (group, value), so no group is gathered in an array.
+    Element min(n - 1, floor(q * n)) of the sorted values is the one where the running count first exceeds that
+    number. Values are counted before they are ordered, and those of a group are ordered in ranges of about
+    equal size: a range's place comes from the counts of the ranges before it, so no task sorts a whole group.
     """
-    part = Window.partitionBy(*by)
-    ranked = times.withColumn("_i", F.row_number().over(part.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
-    at = lambda q: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q))), F.col(value)))
+    each = times.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    low, high = F.min(value).alias("_low"), F.max(value).alias("_high")
+    sums = times.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_mean"), F.sum(value).alias("_sum"), low, high)
+    width = F.greatest(F.col("_high").cast("double") - F.col("_low"), F.lit(1e-300))
+    keyed = each.join(small(sums), [*by]) if by else each.crossJoin(F.broadcast(sums))  # without groups sums is one row
+    cell = F.least(F.floor((F.col(value) - F.col("_low")) / width * 1024), F.lit(1023))
+    keyed = keyed.withColumn("_cell", cell)
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = keyed.groupBy(*by, "_cell").agg(F.sum("_c").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))  # at most 1024 a group
+    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.join(small(cells.select(*by, "_cell", "_before")), [*by, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))), F.col(value)))
     r = lambda c: F.round(c, 2)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r(F.avg(value)).alias("mean"), r(at(0.5)).alias("p50"), r(at(0.95)).alias("p95"), r(at(0.99)).alias("p99"), r(F.max(value)).alias("max"), r(F.sum(value)).alias("total"))
+    found = placed.groupBy(*by).agg(F.first("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.first("_mean").alias("_mean"), F.first("_sum").alias("_sum"), F.max(value).alias("_top"))
+    return found.select(*by, "n", r("_mean").alias("mean"), r("p50").alias("p50"), r("p95").alias("p95"), r("p99").alias("p99"), r("_top").alias("max"), r("_sum").alias("total"))
 
 
 def phase_totals(times: DataFrame, *by: str) -> DataFrame:
@@ -95,6 +109,20 @@ def not_monotone(series: DataFrame, order: str, value: str, slack: float = 0.0,
     return series.withColumn("before", F.max(value).over(w)).where(F.col(value) < F.col("before") - slack)
 
 
+def phase_drift(phases: DataFrame, totals: DataFrame, most: float = 0.05) -> DataFrame:
+    """(label, pass, phase_sum, total, drift) of the runs whose phases don't sum up to their total time by more
+    than `most` of it. phases: (label, pass, phase, sum); totals: (label, pass, total)."""
+    sums = phases.groupBy("label", "pass").agg(F.sum("sum").alias("phase_sum"))
+    drift = F.abs(F.col("phase_sum") - F.col("total")) / F.greatest(F.col("total"), F.lit(1.0))
+    return totals.join(sums, ["label", "pass"]).select("label", "pass", "phase_sum", "total", drift.alias("drift")).where(F.col("drift") > most)
+
+
+def label_coverage(labels: DataFrame, hidden: int) -> DataFrame:
+    """(live, percent): how many of the hidden features have a label that isn't empty."""
+    live = F.count_if(F.coalesce(F.length("label"), F.lit(0)) > 0)
+    return labels.agg(live.alias("live")).select("live", F.round(F.col("live") * 100.0 / hidden, 2).alias("percent"))
+
+
 def compare_runs(reports: DataFrame) -> DataFrame:
     """One row per run: final error by precedence (final value, metrics, last epoch), live and dead features.
 

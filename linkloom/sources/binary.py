@@ -47,7 +47,11 @@ def load_vectors(data: bytes) -> tuple[int, dict[str, np.ndarray]]:
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(text, v) of vector files; each file is parsed whole in a task."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    return parse_vectors(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def parse_vectors(files: DataFrame) -> DataFrame:
+    """(text, v) of the contents (content) of vector files."""
 
     def run(batches):
         import pyarrow as pa
@@ -57,7 +61,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
                 _, m = load_vectors(data)
                 yield pa.RecordBatch.from_arrays([pa.array(list(m), pa.string()), pa.array([v.tolist() for v in m.values()], pa.list_(pa.float32()))], names=["text", "v"])
 
-    return files.mapInArrow(run, "text string, v array<float>")
+    return files.select("content").mapInArrow(run, "text string, v array<float>")
 
 
 def dump_weights(w: Weights) -> bytes:

@@ -46,16 +46,33 @@ def read_concepts(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(F.explode(found).alias("concept"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, redirect, text) of the pages of an XML dump, plain or bzip2."""
+def read_pages(spark: SparkSession, path: str, max_pages: int | None = None) -> DataFrame:
+    """(title, redirect, text) of the pages of an XML dump, plain or bzip2; with max_pages the scan stops there."""
     schema = "title string, redirect struct<_title:string>, revision struct<text:struct<_VALUE:string>>"
     df = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
-    return df.select("title", F.col("redirect._title").alias("redirect"), F.col("revision.text._VALUE").alias("text"))
+    rows = df.select("title", F.col("redirect._title").alias("redirect"), F.col("revision.text._VALUE").alias("text"))
+    return rows if max_pages is None else rows.limit(max_pages)
 
 
 def read_abstracts(spark: SparkSession, path: str, tag: str = "doc") -> DataFrame:
-    """(abstract) of an XML dump of abstracts."""
-    return spark.read.format("xml").option("rowTag", tag).schema("abstract string").load(path).where("abstract is not null")
+    """(abstract) of an XML dump of abstracts: all text inside, that of elements within an abstract too."""
+    rows = spark.read.format("xml").option("rowTag", tag).schema("abstract string").load(path)
+    return rows.select(F.regexp_replace("abstract", r"</?[A-Za-z_][^<>]*>", "").alias("abstract")).where("abstract is not null")
+
+
+def read_lemmas(spark: SparkSession, path: str) -> DataFrame:
+    """(lemma) of the data files of a lexical database: offset, file, kind, number of words (hexadecimal), then
+    each word and its sense; lines of the license begin with blanks. Underscores become spaces."""
+    fields = F.split("line", " ")
+    n = F.conv(F.get(fields, F.lit(3)), 16, 10).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(fields, 4 + 2 * i))
+    rows = read_lines(spark, path).where(F.col("line").rlike(r"^\d{8} \d\d [nvasr] [0-9a-f]{2} "))
+    return rows.select(F.explode(words).alias("word")).select(F.regexp_replace(F.replace("word", F.lit("_"), F.lit(" ")), r"\((?:a|p|ip)\)$", "").alias("lemma"))
+
+
+def first_notes(notes: DataFrame, n: int) -> DataFrame:
+    """The first n notes by path, as a sample for timing."""
+    return notes.orderBy("path").limit(n)
 
 
 def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -70,12 +87,18 @@ def write_corpus(lines: DataFrame, path: str) -> None:
     lines.select("line").distinct().orderBy("line").write.mode("overwrite").text(path)
 
 
+def headline(reports: DataFrame, warm: str = "warm_p50", cold: str = "cold_p50") -> DataFrame:
+    """Configurations by their warm median, or the cold one where there is no warm pass, fastest first."""
+    return reports.orderBy(F.coalesce(warm, cold), *[c for c in reports.columns if c not in (warm, cold)])
+
+
 def markdown_table(df: DataFrame) -> str:
-    """A small report as a Markdown table; df holds summary rows, at most 1000 of which are shown."""
+    """A report as a Markdown table, all rows of df, read one partition at a time."""
     cols = df.columns
-    rows = [[("" if v is None else str(v)) for v in r] for r in df.limit(1000).collect()]
+    rows = [[("" if v is None else str(v)) for v in r] for r in df.toLocalIterator()]
     return "\n".join(["| " + " | ".join(r) + " |" for r in [cols, ["---"] * len(cols), *rows]]) + "\n"
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A report of any size as JSON lines."""
+    df.write.mode("overwrite").json(path)

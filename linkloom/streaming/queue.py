@@ -6,11 +6,14 @@ keyed state with timers. The cooldown is a fold over a note's times in order.
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+log = logging.getLogger(__name__)
 DEBOUNCE_MS, PRIORITY_MS, COOLDOWN_MS = 500, 200, 2000
 
 
@@ -28,6 +31,49 @@ def route(events: DataFrame) -> DataFrame:
     return notes.select("ts", F.explode(jobs).alias("j")).select("ts", "j.path", "j.action", "j.old_path")
 
 
+EVENTS = "ts timestamp, path string, type string, old_path string"
+
+
+def read_events(spark: SparkSession, path: str, late: str = "1 minute") -> DataFrame:
+    """Stream of vault events (ts, path, type, old_path) from JSON lines that are added below path. Only notes;
+    an event that is delivered again within `late` counts once, however often the folder is subscribed to."""
+    events = spark.readStream.schema(EVENTS).json(path).where(F.col("path").endswith(".md"))
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["ts", "path", "type", "old_path"])
+
+
+def persist_times(writes: DataFrame, key: str = "store", t: str = "t", quiet_ms: int = 300, most_ms: int = 5000) -> DataFrame:
+    """(key, flush, writes): when a store is saved. A save follows when no write came for quiet_ms, or most_ms after the
+    first write that it holds, whichever is sooner, so writes without a pause can't put it off. Rows of a key stream
+    through in order."""
+    import pyarrow as pa
+
+    kinds = dict(writes.dtypes)
+    rows = writes.select(F.col(key).alias("key"), F.col(t).cast("long").alias("t")).repartition("key").sortWithinPartitions("key", "t")
+
+    def run(batches):
+        now, first, last, n = None, None, None, 0
+        out: list[tuple] = []
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], rows_type), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=["key", "flush", "writes"])
+
+        for b in batches:
+            rows_type = b.schema.field("key").type
+            for k, x in zip(b.column("key").to_pylist(), b.column("t").to_pylist()):
+                if n and (k != now or x >= min(last + quiet_ms, first + most_ms)):
+                    out.append((now, min(last + quiet_ms, first + most_ms), n))
+                    n = 0
+                now, first, last, n = k, first if n else x, x, n + 1
+            if out:
+                yield sent()
+                out.clear()
+        if n:
+            out.append((now, min(last + quiet_ms, first + most_ms), n))
+            yield sent()
+
+    return rows.mapInArrow(run, f"key {kinds[key]}, flush long, writes long").withColumnRenamed("key", key)
+
+
 def gap(active: Column | None = None, debounce_ms: int = DEBOUNCE_MS, priority_ms: int = PRIORITY_MS) -> Column:
     """How long a note must be quiet; shorter for the active one."""
     ms = F.lit(debounce_ms) if active is None else F.when(active, priority_ms).otherwise(debounce_ms)
@@ -117,6 +163,63 @@ def debounced_jobs(jobs: DataFrame, debounce_ms: int = DEBOUNCE_MS, priority_ms:
     return jobs.withWatermark("ts", "1 second").groupBy("path").applyInPandasWithState(run, "path string, fires timestamp", "pending long, fired long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def vault_jobs(jobs: DataFrame, debounce_ms: int = DEBOUNCE_MS, priority_ms: int = PRIORITY_MS, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+    """The queue of a whole vault as stream state: (vault, path, fires) of (ts, vault, path, action).
+
+    Actions: enqueue sets a note's timer, a shorter one if the note is in focus; cancel clears it; focus makes a
+    note the one in focus and cancels the normal jobs of all others; flush runs what is pending at once; force runs a
+    note now. A timed job within the cooldown after the note last ran is lost, flushed and forced ones are not.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved = json.loads(state.get[0]) if state.exists else {"focus": None, "pending": {}, "ran": {}}
+        pending, ran, out = saved["pending"], saved["ran"], []  # pending: path -> [fires, high]
+
+        def fire(path: str, at: int, sure: bool) -> None:
+            if sure or path not in ran or at - ran[path] >= cooldown_ms:
+                ran[path] = at
+                out.append((path, at))
+
+        def due(now: int) -> None:
+            for at, path in sorted((at, path) for path, (at, _) in pending.items() if at <= now):
+                del pending[path]
+                fire(path, at, False)
+
+        if state.hasTimedOut:
+            due(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+            for ts, path, action in zip(rows["ts"], rows["path"], rows["action"]):
+                now = int(ts.timestamp() * 1000)
+                due(now)
+                if action == "enqueue":
+                    high = path == saved["focus"]
+                    pending[path] = [now + (priority_ms if high else debounce_ms), high]
+                elif action == "cancel":
+                    pending.pop(path, None)
+                elif action == "focus":
+                    saved["focus"] = path
+                    for other in [p for p, (_, high) in pending.items() if p != path and not high]:
+                        del pending[other]
+                elif action == "flush":
+                    for other in sorted(pending, key=lambda p: pending[p][0]):
+                        fire(other, now, True)
+                    pending.clear()
+                elif action == "force":
+                    pending.pop(path, None)
+                    fire(path, now, True)
+                for old in [p for p, at in ran.items() if now - at >= cooldown_ms]:
+                    del ran[old]
+        state.update((json.dumps(saved),))
+        if pending:
+            state.setTimeoutTimestamp(max(min(at for at, _ in pending.values()), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"vault": [key[0]] * len(out), "path": [p for p, _ in out], "fires": pd.to_datetime([at for _, at in out], unit="ms")})
+
+    rows = jobs.withWatermark("ts", "1 second").groupBy("vault")
+    return rows.applyInPandasWithState(run, "vault string, path string, fires timestamp", "saved string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def switch_focus(pending: DataFrame, active: str) -> DataFrame:
     """Pending jobs (path, high, ...) after the user turns to a note: its own, now high, and the high ones."""
     own = F.col("path") == active
@@ -131,16 +234,33 @@ def dispatch_order(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("place", F.row_number().over(w))
 
 
-def publish(stream: DataFrame, root: str, resolve: Callable[[DataFrame], DataFrame], seconds: int = 5, available_now: bool = False):
+def publish(stream: DataFrame, root: str, resolve: Callable[[DataFrame], DataFrame], seconds: int = 5, available_now: bool = False, skip_failed: bool = False):
     """Starts a query that resolves each micro-batch of jobs and replaces the edges of its notes.
 
     Batches run one after the other; a note's edges are one folder, replaced in one dynamic overwrite, so a
-    repeated batch leaves the same state. The trigger bounds how often state is written.
+    repeated batch leaves the same state. The trigger bounds how often state is written. With skip_failed a batch
+    that fails is tried note by note; notes that fail again are logged and left out, and the next batch follows.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("path").agg(F.max("ts").alias("ts"))
+    def save(latest: DataFrame) -> None:
         resolve(latest).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(f"{root}/edges")
 
+    def write(batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy("path").agg(F.max("ts").alias("ts"))
+        if not skip_failed:
+            return save(latest)
+        latest = latest.persist()
+        try:
+            save(latest)
+        except Exception as whole:
+            log.warning("batch %s failed, its notes follow one by one: %s", number, whole)
+            for row in latest.toLocalIterator():
+                try:
+                    save(latest.where(F.col("path") == row["path"]))
+                except Exception as error:
+                    log.warning("note %s is left out: %s", row["path"], error)
+        finally:
+            latest.unpersist()
+
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_progress")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
