@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import edges, models, text
+from .plans import edges, models, text, upkeep
 
-MODULES = (text, edges, models)
+MODULES = (text, edges, models, upkeep)
 
 
 def queries() -> dict:

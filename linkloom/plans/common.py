@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
@@ -12,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, for queries that write before they read; where that is unset, a
+    temporary one, in local mode only. It goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    path = f"{base}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan dealt to all cores if its files give fewer partitions than there are (a small table in one
     file); tables of more partitions than cores stay as they are."""
@@ -38,6 +56,11 @@ GRAMS = SENTENCE_WORDS + """,
     gn AS (SELECT doc_id, sent_idx, w, unnest([1, 2, 3]) AS n FROM sw),
     gi AS (SELECT doc_id, sent_idx, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM gn),
     grams AS (SELECT doc_id, sent_idx, n, i, list_slice(w, i, i + n - 1) AS ws FROM gi)"""
+#: Markdown marks for replacement by their groups, in the order of the scanner's rules.
+MARKS = r"(?s)---\n.*?\n---\n?|```.*?```|`[^`\n]+`|!\[[^\]]*\]\([^)]*\)|\[\[[^\]|]+\|([^\]]+)\]\]|\[\[([^\]]+)\]\]|\[([^\]]*)\]\([^)]*\)|<[^>]+>|https?://[^\s)]+|#{1,6}\s|\*{1,3}|_{1,2}"
+NORM = "trim(strip_accents(regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '''s\\b', '', 'g')))"
+#: The titles of titles_of_documents.
+TITLES = f"titles AS (SELECT array_to_string(list_slice(w, 1, 3), ' ') AS title, min(doc_id) AS ord FROM (SELECT doc_id, regexp_extract_all(text, {WORD}) AS w FROM documents) WHERE len(w) >= 3 GROUP BY 1)"
 
 
 def titles_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators import embed, evaluate, markdown, merge, resolve, sae, spans, store
 from ..streaming import queue
-from .common import DECORATED, decorated, documents, table, titles_of_documents
+from .common import DECORATED, MARKS, NORM, SENTENCES, STOP, TITLES, WORD, decorated, documents, scratch, table, titles_of_documents
 from .discover import discover_links, document_phrases
 
 
 def lcs_resolve(spark, sf_dir):
     """The flagship: which documents should each document link to, by its phrases and their titles."""
-    phrases = document_phrases(documents(spark, sf_dir))
-    edges = resolve.resolve_lcs(phrases, titles_of_documents(spark, sf_dir))
+    titles = titles_of_documents(spark, sf_dir)
+    phrases = document_phrases(documents(spark, sf_dir), longest=resolve.longest_phrase(titles))
+    edges = resolve.resolve_lcs(phrases, titles)
     got = merge.dedup_and_rank(edges.withColumnRenamed("title", "target"))
     return got.select("note_id", "phrase", "target", F.round("similarity", 6).alias("similarity"), "rank")
 
@@ -22,7 +23,7 @@ def lcs_contained(spark, sf_dir):
     """Part names, and longer and shorter forms of them, against all part names."""
     part = table(spark, sf_dir, "part").select("p_name").distinct()
     forms = F.explode(F.array(F.col("p_name"), F.concat("p_name", F.lit("'s")), F.concat(F.upper("p_name"), F.lit(" co")), F.concat(F.lit("a "), F.col("p_name")))).alias("phrase")
-    titles = part.select(F.col("p_name").alias("title"), F.xxhash64("p_name").alias("ord"))
+    titles = part.select(F.col("p_name").alias("title"), F.col("p_name").alias("ord"))
     got = resolve.lcs_pairs(part.select(forms), titles, per_phrase=1)
     return got.select("phrase", "title", F.round("similarity", 6).alias("similarity"))
 
@@ -78,7 +79,7 @@ def sae_encode(spark, sf_dir):
 def sparse_cosine(spark, sf_dir):
     f = _features(spark, sf_dir).select("id", "idx", "value")
     got = resolve.sparse_pairs(f, f, threshold=0.75, k=3, same=True)
-    return got.groupBy("l_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("similarity"), 5).alias("best"))
+    return got.select("l_id", "r_id", F.round("similarity", 6).alias("similarity"))
 
 
 def dense_explanation(spark, sf_dir):
@@ -87,7 +88,7 @@ def dense_explanation(spark, sf_dir):
     f = _features(spark, sf_dir).select("id", "idx", "value")
     labels = _atoms(spark, sf_dir).select("idx", F.concat(F.lit("atom "), F.col("idx").cast("string")).alias("label"))
     got = resolve.explanation(pairs, f, f, labels)
-    return got.groupBy("l_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("product"), 5).alias("products"))
+    return got.select("l_id", "r_id", "rank", "idx", F.round("product", 6).alias("product"), "label")
 
 
 def fire_counts(spark, sf_dir):
@@ -148,8 +149,9 @@ def drop_note(spark, sf_dir):
 
 
 def deny_edges(spark, sf_dir):
-    _, keys = store.give_feedback(_stored(spark, sf_dir), _denials(spark, sf_dir), _stored(spark, sf_dir).where("source_id is not null").select("source_id", F.lower(F.regexp_replace("phrase", " +", " ")).alias("phrase_key"), "target_id"))
-    return keys.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_keys"))
+    left, keys = store.give_feedback(_stored(spark, sf_dir), _denials(spark, sf_dir), _stored(spark, sf_dir).where("source_id is not null").select("source_id", F.lower(F.regexp_replace("phrase", " +", " ")).alias("phrase_key"), "target_id").where("target_id <> '7'"))
+    kept = left.select("source_id", F.lit("edge").alias("what"), F.col("edge").cast("string").alias("name"))
+    return kept.unionByName(keys.select("source_id", F.lit("key").alias("what"), F.concat_ws("/", "phrase_key", "target_id").alias("name")))
 
 
 def _snapshots(spark, sf_dir):
@@ -220,15 +222,19 @@ def debounce_sessions(spark, sf_dir):
 
 
 def stream_debounce(spark, sf_dir):
-    """The same bursts through a stream that reads what is there and stops; those still open don't come out."""
-    import uuid
-
-    name = f"bursts_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    got = queue.debounce(stream.select(F.col("user_id").alias("path"), "ts", "event_id"), "6 hours", watermark="1 minute")
-    query = got.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """The same bursts through a stream that reads what is there, ends with a closing event and stops."""
+    root = f"{scratch(spark)}/bursts"
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    last.write.parquet(f"{root}/closing")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    closing = spark.readStream.schema(events.schema).parquet(f"{root}/closing")
+    jobs = stream.unionByName(closing).select(F.col("user_id").alias("path"), "ts")
+    got = queue.debounce(jobs, "6 hours", watermark="1 minute")
+    query = got.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select(F.col("path").alias("user_id"), F.col("latest").cast("timestamp_ntz").alias("latest"), F.col("n").cast("long").alias("n"))
+    done = spark.read.schema(got.schema).parquet(f"{root}/out").where("path <> -1")  # a filter before would pass over the closing event
+    return done.select(F.col("path").alias("user_id"), F.col("latest").cast("timestamp_ntz").alias("latest"), F.col("n").cast("long").alias("n"))
 
 
 def cooldown_keep(spark, sf_dir):
@@ -280,20 +286,58 @@ _ST = """so AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey::VARCHAR EN
 _SN = """n AS (SELECT 'id' || doc_id AS id, 'n/' || doc_id || '.md' AS path, doc_id * 10 AS mtime, n_chars AS size, doc_id AS ord FROM documents WHERE doc_id % 10 <> 9),
     f AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' ELSE 'n/' END || doc_id || '.md' AS path, doc_id * 10 + CASE WHEN doc_id % 10 = 4 THEN 1 ELSE 0 END AS mtime, n_chars AS size FROM documents WHERE doc_id % 10 <> 5)"""
 
+#: The subsequence of a pair is counted in the bits of a number, a character of the phrase at a time. Only pairs that
+#: the edit distance leaves a chance are measured: what two texts share is at most half of their lengths less it.
+_LCS = rf"""md AS (SELECT doc_id, regexp_replace(text, '{MARKS}', '\1\2\3', 'g') AS text FROM documents), ms AS (SELECT doc_id, {SENTENCES} AS ss FROM md),
+    me AS (SELECT doc_id, unnest(ss) AS sentence, unnest(range(len(ss))) AS sent_idx FROM ms), mw AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence, {WORD}) AS w FROM me),
+    {TITLES}, nt AS (SELECT title, ord, {NORM.format("title")} AS nt FROM titles),
+    gn AS (SELECT doc_id, sent_idx, w, unnest(range(1, 11)) AS n FROM mw), gi AS (SELECT doc_id, sent_idx, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM gn),
+    gr AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase, sent_idx * 10000000 + n * 500000 + i AS place FROM gi WHERE lower(w[i + n - 1]) NOT IN {STOP} AND (n > 1 OR length(w[i]) > 1)),
+    sp AS (SELECT doc_id, lower(phrase) AS key, arg_min(phrase, place) AS phrase FROM gr GROUP BY ALL), np AS (SELECT *, {NORM.format("phrase")} AS np FROM sp),
+    dp AS (SELECT DISTINCT np FROM np WHERE length(np) * 0.85 <= 1.1 * (SELECT max(length(nt)) FROM nt)),
+    pw AS (SELECT np, unnest(string_split(np, ' ')) AS word, unnest(range(len(string_split(np, ' ')))) AS pos FROM dp), tw AS (SELECT DISTINCT title, ord, nt, unnest(string_split(nt, ' ')) AS word FROM nt),
+    pr AS (SELECT np, nt, title, ord, min(pos) AS pos FROM pw JOIN tw USING (word) WHERE least(length(np), length(nt)) * 1.1 >= 0.85 * greatest(length(np), length(nt)) - 1e-9 GROUP BY ALL),
+    pc AS (SELECT *, contains(np, nt) AS inside, contains(nt, np) AS within FROM pr WHERE contains(np, nt) OR length(np) + length(nt) - levenshtein(np, nt) >= 1.7 * greatest(length(np), length(nt)) - 1e-9),
+    op AS (SELECT DISTINCT np, nt FROM pc WHERE NOT inside AND NOT within), tc AS (SELECT DISTINCT nt FROM op),
+    bt AS (SELECT nt, unnest(string_split(nt, '')) AS c, unnest(range(length(nt))) AS j FROM tc), bc AS (SELECT nt, c, sum(1::HUGEINT << j)::HUGEINT AS bits FROM bt GROUP BY ALL),
+    lc AS (SELECT np, nt, 0 AS i, (1::HUGEINT << length(nt)) - 1 AS row FROM op
+        UNION ALL SELECT l.np, l.nt, i + 1, ((row + (row & coalesce(bits, 0))) | (row - (row & coalesce(bits, 0)))) & ((1::HUGEINT << length(l.nt)) - 1)
+        FROM lc l LEFT JOIN bc ON bc.nt = l.nt AND bc.c = l.np[i + 1] WHERE i < length(l.np)),
+    ls AS (SELECT np, nt, length(nt) - bit_count(row) AS n FROM lc WHERE i = length(np)),
+    sm AS (SELECT pc.*, least(1.0::DOUBLE, CASE WHEN pc.np = pc.nt THEN 1.0::DOUBLE WHEN inside THEN length(pc.nt) / length(pc.np) * 1.1::DOUBLE WHEN within THEN length(pc.np) / length(pc.nt) ELSE n / greatest(length(pc.np), length(pc.nt)) END) AS s
+        FROM pc LEFT JOIN ls ON ls.np = pc.np AND ls.nt = pc.nt),
+    ed AS (SELECT doc_id AS note_id, key, phrase, title, ord, s FROM np JOIN sm USING (np) WHERE s >= 0.85 AND nt <> doc_id::VARCHAR QUALIFY row_number() OVER (PARTITION BY doc_id, phrase ORDER BY s DESC, pos, ord, title) <= 3)"""
+
 ORACLES = {
+    "lcs_resolve": f"WITH RECURSIVE {_LCS} SELECT note_id, phrase, title AS target, round(s, 6) AS similarity, row_number() OVER (PARTITION BY note_id ORDER BY s DESC, ord, title, key)::INTEGER AS rank FROM ed",
+    "recall_at_k": f"""WITH {_SPARSE}, dn AS (SELECT a.id AS l_id, b.id AS r_id FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) <= 5),
+        sn AS (SELECT l_id, r_id FROM ss WHERE s >= 0.01 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY round(s, 9) DESC, r_id) <= 5),
+        rc AS (SELECT dn.l_id, count(sn.r_id) / 5 AS recall FROM dn LEFT JOIN sn USING (l_id, r_id) GROUP BY 1)
+        SELECT round(avg(recall), 3) AS mean, round(quantile_cont(recall, 0.5), 3) AS median, round(quantile_cont(recall, 0.25), 3) AS p25, round(quantile_cont(recall, 0.75), 3) AS p75 FROM rc""",
+    "stream_debounce": """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM o) SELECT user_id, max(ts) AS latest, count(*) AS n FROM s GROUP BY user_id, sid""",
+    # letters in bold spans (chr 2), other headings (4) and the first top heading (3) are marked, then marks and tokens follow
+    "structural_headings": rf"""WITH {DECORATED}, ln AS (SELECT note_id, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS k FROM notes),
+        lv AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level FROM ln),
+        mk AS (SELECT note_id, k, CASE WHEN level IS NULL THEN array_to_string(list_transform(regexp_extract_all(line, '\*\*.+?\*\*|.'), lambda x: CASE WHEN length(x) > 1 THEN regexp_replace(x, '([a-zA-Z0-9])', chr(2) || '\1', 'g') ELSE x END), '')
+            ELSE regexp_replace(line, '([a-zA-Z0-9])', CASE WHEN level = 1 AND k = min(k) FILTER (level = 1) OVER (PARTITION BY note_id) THEN chr(3) ELSE chr(4) END || '\1', 'g') END AS line FROM lv),
+        nt AS (SELECT note_id, regexp_replace(string_agg(line, chr(10) ORDER BY k), '{MARKS}', '\1\2\3', 'g') AS t FROM mk GROUP BY 1),
+        tk AS (SELECT note_id, unnest(regexp_extract_all(t, '(?:[\x02-\x04]?[a-zA-Z0-9])+(?:[''’](?:[\x02-\x04]?[a-zA-Z])+)*')) AS t FROM nt)
+        SELECT note_id, count(*) AS n, max(CASE WHEN contains(t, chr(3)) THEN 3 WHEN contains(t, chr(4)) THEN 2 ELSE 1 END)::INTEGER AS boost FROM tk WHERE regexp_matches(t, '[\x02-\x04]') GROUP BY 1""",
     "lcs_contained": r"""WITH t AS (SELECT DISTINCT p_name AS title FROM part), p AS (SELECT DISTINCT unnest([title, title || '''s', upper(title) || ' co', 'a ' || title]) AS phrase FROM t),
         n AS (SELECT phrase, trim(regexp_replace(lower(phrase), '''s\b', '', 'g')) AS np FROM p),
-        c AS (SELECT phrase, title, CASE WHEN np = title THEN 1.0::DOUBLE WHEN contains(np, title) THEN least(1.0::DOUBLE, length(title) / length(np) * 1.1::DOUBLE) ELSE length(np) / length(title) END AS s FROM n, t WHERE contains(np, title) OR contains(title, np))
-        SELECT phrase, title, round(s, 6) AS similarity FROM c WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY s DESC) = 1""",
+        c AS (SELECT phrase, title, list_min(list_filter(range(1, len(string_split(np, ' ')) + 1), lambda i: list_contains(string_split(title, ' '), string_split(np, ' ')[i]))) AS pos,
+            CASE WHEN np = title THEN 1.0::DOUBLE WHEN contains(np, title) THEN least(1.0::DOUBLE, length(title) / length(np) * 1.1::DOUBLE) ELSE length(np) / length(title) END AS s FROM n, t WHERE contains(np, title) OR contains(title, np))
+        SELECT phrase, title, round(s, 6) AS similarity FROM c WHERE s >= 0.85 AND pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY s DESC, pos, title) = 1""",
     "strong_match_skip": "SELECT p_partkey AS note_id, p_name AS phrase FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE 1 - l_discount::DOUBLE >= 0.995)",
     "dense_topk": f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY round(s, 12) DESC, r_id) AS r FROM p WHERE s >= 0.35) SELECT l_id, r_id, round(s, 6) AS similarity FROM r WHERE r <= 3",
     "dense_nearest": f"WITH {_DENSE} SELECT l_id, round(max(s), 6) AS similarity FROM p GROUP BY 1",
     "sae_encode": f"WITH {_SAE} SELECT id, idx, round(value, 6) AS value, r::INTEGER AS rank FROM feats",
-    "sparse_cosine": f"WITH {_SPARSE}, r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY s DESC) AS r FROM ss WHERE s >= 0.75) SELECT l_id, count(*) AS n, round(max(s), 5) AS best FROM r WHERE r <= 3 GROUP BY 1",
+    "sparse_cosine": f"WITH {_SPARSE}, r AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY round(s, 12) DESC, r_id) AS r FROM ss WHERE s >= 0.75) SELECT l_id, r_id, round(s, 6) AS similarity FROM r WHERE r <= 3",
     "dense_explanation": f"""WITH {_SAE}, p AS (SELECT a.id AS l_id, b.id AS r_id, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.id <> b.id),
-        t AS (SELECT l_id, arg_max(r_id, round(s, 12) * 1000000 - r_id / 1000000) AS r_id FROM p WHERE s >= 0.35 GROUP BY 1),
-        x AS (SELECT l_id, a.value * b.value AS d, row_number() OVER (PARTITION BY l_id ORDER BY a.value * b.value DESC, a.idx) AS r FROM t JOIN feats a ON a.id = l_id JOIN feats b ON b.id = r_id AND b.idx = a.idx)
-        SELECT l_id, count(*) AS n, round(sum(d), 5) AS products FROM x WHERE r <= 2 GROUP BY 1""",
+        t AS (SELECT l_id, r_id FROM p WHERE s >= 0.35 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY round(s, 12) DESC, r_id) = 1),
+        x AS (SELECT l_id, r_id, a.idx, a.value * b.value AS d, row_number() OVER (PARTITION BY l_id ORDER BY a.value * b.value DESC, a.idx)::INTEGER AS rank FROM t JOIN feats a ON a.id = l_id JOIN feats b ON b.id = r_id AND b.idx = a.idx)
+        SELECT l_id, r_id, rank, idx, round(d, 6) AS product, 'atom ' || idx AS label FROM x WHERE rank <= 2""",
     "fire_counts": f"WITH {_SAE}, c AS (SELECT idx, count(*) AS n FROM feats WHERE value > 0 GROUP BY 1), i AS (SELECT unnest(range(128))::INTEGER AS idx) SELECT idx, coalesce(n, 0) AS fires, n IS NULL AS dead FROM i LEFT JOIN c USING (idx)",
     "merge_edges": f"WITH {_M} SELECT note_id, phrase_key, target, phrase, similarity, matched_by, lcs_similarity, dense_similarity, sparse_similarity, match_type, n_features FROM mg",
     "dedup_rank": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY note_id, phrase_key, target ORDER BY similarity DESC, ord) AS r FROM ek)
@@ -306,7 +350,8 @@ ORACLES = {
     "suppress_edges": f"WITH {_ST} SELECT edge, source_id FROM so WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.source_id = so.source_id AND dn.phrase_key = so.phrase_key AND dn.target_id = so.target_id)",
     "edge_store_read": f"WITH {_ST} SELECT source_id, phrase, target_id, similarity, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, phrase, target_id)::INTEGER AS place FROM so WHERE source_id IS NOT NULL AND similarity >= 0.7",
     "drop_note": f"WITH {_ST}, g AS (SELECT r_regionkey::VARCHAR AS id FROM region) SELECT edge FROM so WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
-    "deny_edges": f"WITH {_ST}, k AS (SELECT source_id, phrase_key, target_id FROM dn UNION SELECT source_id, phrase_key, target_id FROM so WHERE source_id IS NOT NULL) SELECT source_id, count(*) AS n_keys FROM k GROUP BY 1",
+    "deny_edges": f"""WITH {_ST}, k AS (SELECT source_id, phrase_key, target_id FROM dn UNION SELECT source_id, phrase_key, target_id FROM so WHERE source_id IS NOT NULL AND target_id <> '7')
+        SELECT source_id, 'key' AS what, phrase_key || '/' || target_id AS name FROM k UNION ALL SELECT source_id, 'edge', edge::VARCHAR FROM so WHERE source_id IS NULL OR target_id = '7'""",
     "reconcile": f"""WITH {_SN}, o AS (SELECT * FROM n WHERE path NOT IN (SELECT path FROM f)), w AS (SELECT * FROM f WHERE path NOT IN (SELECT path FROM n)),
         lone AS (SELECT size, min(path) AS path, min(mtime) AS mtime FROM w GROUP BY 1 HAVING count(*) = 1),
         c AS (SELECT size, arg_min(id, ord) AS id FROM o GROUP BY 1), claim AS (SELECT lone.*, c.id FROM lone JOIN c USING (size))

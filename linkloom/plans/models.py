@@ -8,7 +8,7 @@ from ..functions import vectors as V
 from ..operators import corpus, evaluate, resolve, sae, store
 from ..streaming import queue
 from .common import table
-from .edges import _atoms, _denials, _features, _SAE, _ST, _stored, _vectors
+from .edges import _atoms, _denials, _features, _SAE, _ST, _stored, _V, _vectors
 
 
 def feature_preview(spark, sf_dir):
@@ -24,12 +24,13 @@ def sae_reconstruction(spark, sf_dir):
 
 
 def atom_labels(spark, sf_dir):
-    """Decoder atoms named by their nearest vectors."""
+    """Decoder atoms, differences of neighbouring vectors, named by their nearest vectors."""
     v = _vectors(spark, sf_dir)
-    atoms = _atoms(spark, sf_dir).select(F.col("idx").cast("long").alias("id"), F.col("enc").alias("v"))
+    a, b = (v.where(F.col("id") < 129).select((F.col("id") - d).alias("id"), F.col("v").alias(n)) for d, n in ((0, "a"), (1, "b")))
+    atoms = a.join(b, "id").select("id", F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double")).alias("v"))
     near = resolve.dense_pairs(atoms, v, threshold=-1.0, k=20)
     terms = v.select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
-    return sae.label_atoms(near, terms, top=1).select(F.col("idx").cast("int").alias("idx"), "label")
+    return sae.label_atoms(near, terms, least=0.3, top=3).select(F.col("idx").cast("int").alias("idx"), "label")
 
 
 def mean_pooling(spark, sf_dir):
@@ -61,12 +62,11 @@ def edge_changes(spark, sf_dir):
 
 
 def train_split(spark, sf_dir):
-    got = corpus.split_train(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    return got.groupBy("is_val").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.split_train(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", share=0.1)
 
 
 def probe_sample(spark, sf_dir):
-    return corpus.sample_rows(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 100).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("distinct_ids"))
+    return corpus.sample_rows(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 100)
 
 
 def sweep_configs(spark, sf_dir):
@@ -82,7 +82,9 @@ ORACLES = {
         SELECT idx, fires, r::INTEGER AS rank, 'text ' || id AS text, round(value, 6) AS value FROM r WHERE r <= 5""",
     "sae_reconstruction": f"""WITH {_SAE}, d AS (SELECT f.id, unnest(list_transform(a.enc, lambda x: x * f.value)) AS x, unnest(range(64)) AS dim FROM feats f JOIN atoms a USING (idx)),
         s AS (SELECT id, dim, sum(x) AS x FROM d GROUP BY ALL) SELECT id, round(sum(x * x), 5) AS energy FROM s GROUP BY id""",
-    "atom_labels": "WITH a AS (SELECT vec_id::INTEGER AS idx FROM embeddings ORDER BY vec_id LIMIT 128) SELECT idx, 't' || idx AS label FROM a",
+    "atom_labels": f"""WITH {_V}, a AS (SELECT x.id, list_transform(range(1, len(x.v) + 1), lambda i: x.v[i] - y.v[i]) AS v FROM e x JOIN e y ON y.id = x.id + 1 WHERE x.id < 128),
+        s AS (SELECT a.id, e.id AS r_id, list_cosine_similarity(a.v, e.v) AS s FROM a, e), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, r_id) AS r, max(s) OVER (PARTITION BY id) AS best FROM s)
+        SELECT id::INTEGER AS idx, string_agg('t' || r_id, ' · ' ORDER BY round(s, 12) DESC, r_id) AS label FROM r WHERE r <= 3 AND best >= 0.3 AND s >= 0.15 GROUP BY id""",
     "mean_pooling": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (v[i] + v[i + 16] + v[i + 32]) / 3) AS p FROM e)
         SELECT vec_id, round(p[1] / sqrt(list_dot_product(p, p)), 6) AS x0, round(p[16] / sqrt(list_dot_product(p, p)), 6) AS x15 FROM m""",
     "l2_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit FROM embeddings",
@@ -91,7 +93,8 @@ ORACLES = {
     "edge_changes": f"""WITH {_ST}, b AS (SELECT source_id, phrase, phrase_key, target_id, max(similarity) AS old FROM so WHERE source_id IS NOT NULL GROUP BY ALL),
         c AS (SELECT b.*, d.source_id IS NOT NULL AS gone FROM b LEFT JOIN (SELECT DISTINCT * FROM dn) d USING (source_id, phrase_key, target_id))
         SELECT source_id, phrase, target_id, old, CASE WHEN NOT gone THEN 1.0::DOUBLE END AS new, CASE WHEN gone THEN 'removed' ELSE 'changed' END AS change FROM c WHERE gone OR (target_id = '3' AND old <> 1)""",
-    "train_split": "WITH n AS (SELECT count(*) AS n FROM orders), v AS (SELECT n, least(4096, greatest(1, floor(n * 0.002)))::BIGINT AS k FROM n) SELECT true AS is_val, k AS n FROM v UNION ALL SELECT false, n - k FROM v",
-    "probe_sample": "SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_ids FROM embeddings",
-    "sweep_configs": "SELECT * FROM (VALUES (10, 60, 0.95::DOUBLE), (1, 60, 0.95), (3, 60, 0.95), (5, 60, 0.95), (10, 10, 0.95), (10, 30, 0.95), (10, 200, 0.95), (10, 500, 0.95), (10, 60, 0.85), (10, 60, 1.0)) t(max_n, embed_cap, strong)",
+    "train_split": "SELECT o_orderkey, row_number() OVER (ORDER BY md5('0 ' || o_orderkey), o_orderkey) <= least(4096, greatest(1, floor(count(*) OVER () * 0.1))) AS is_val FROM orders",
+    "probe_sample": "SELECT vec_id FROM embeddings ORDER BY md5('42 ' || vec_id), vec_id LIMIT 100",
+    "sweep_configs": """WITH f AS (SELECT n, c, s::DOUBLE AS s FROM unnest([1, 3, 5, 10]) a(n), unnest([10, 30, 60, 200, 500]) b(c), unnest([0.85, 0.95, 1.0]) d(s))
+        SELECT n AS max_n, c AS embed_cap, s AS strong FROM f WHERE (n <> 10)::INTEGER + (c <> 60)::INTEGER + (s <> 0.95)::INTEGER <= 1""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.words import ADJECTIVE_SUFFIXES, NOUN_SUFFIXES, VERB_SUFFIXES
 from ..operators import corpus, links, markdown, spans, yake
-from .common import DECORATED, GRAMS, SENTENCE_WORDS, SENTENCES, STOP, WORD, decorated, documents, table
+from .common import DECORATED, GRAMS, MARKS, NORM, SENTENCE_WORDS, SENTENCES, STOP, TITLES, WORD, decorated, documents, table, titles_of_documents
 
 
 def tokens(spark, sf_dir):
@@ -73,14 +73,28 @@ def doc_freq_tfidf(spark, sf_dir):
 
 
 def yake_topn(spark, sf_dir):
-    got = yake.phrases(markdown.plain_sentences(documents(spark, sf_dir)))
+    got = yake.note_phrases(documents(spark, sf_dir), "doc_id", "text", markdown=False)
     return got.select(F.col("note_id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
 
 
+def yake_boosted(spark, sf_dir):
+    """Keyphrases with boosts for titles of documents and for terms that are rare over all documents."""
+    docs = documents(spark, sf_dir)
+    df = yake.document_frequencies(_stats(spark, sf_dir))
+    got = yake.note_phrases(docs, "doc_id", "text", titles=titles_of_documents(spark, sf_dir), frequencies=df, total=docs.count(), max_n=3, top_n=50, markdown=False)
+    return got.select(F.col("note_id").alias("doc_id"), "phrase", F.round("score", 6).alias("score"), "rank")
+
+
+def gram_windows(spark, sf_dir):
+    g = spans.ngrams(markdown.plain_sentences(documents(spark, sf_dir)), 3)
+    text = F.array_join(F.transform("words", lambda w: w["lower"]), " ")
+    return g.groupBy(F.col("note_id").alias("doc_id"), "n").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.length(text)).alias("n_chars"), F.min(text).alias("first"), F.max(text).alias("last"))
+
+
 def markdown_tokens(spark, sf_dir):
     s = markdown.note_sentences(decorated(spark, sf_dir))
     t = s.select("note_id", "sent_idx", F.explode("tokens").alias("t")).select("note_id", "sent_idx", "t.*")
-    return t.groupBy("note_id").agg(F.max("sent_idx").alias("last_sentence"), F.count(F.lit(1)).alias("n_tokens"), F.sum("start").alias("starts"), F.sum("boost").alias("boosts"))
+    return t.groupBy("note_id").agg(F.max("sent_idx").alias("last_sentence"), F.count(F.lit(1)).alias("n_tokens"), F.sum("start").alias("starts"))
 
 
 def _notes(spark, sf_dir, *cols):
@@ -112,7 +126,7 @@ def protected_zones(spark, sf_dir):
 def strip_mentions(spark, sf_dir):
     notes = decorated(spark, sf_dir).withColumn("basename", F.col("title"))
     got = links.strip_mentions(notes, notes.select("title"))
-    return got.select("note_id", F.length("content").alias("n_chars"))
+    return got.select("note_id", F.md5("content").alias("content_md5"))
 
 
 def write_back(spark, sf_dir):
@@ -171,11 +185,13 @@ def corpus_manifest(spark, sf_dir):
 
 
 QUERIES = [
-    tokens, sentences_split, sentence_filter, normalize_phrase, pos_tags, ngrams_span, title_scan, embed_cap, term_stats, yake_term_score, doc_freq_tfidf, yake_topn,
+    tokens, sentences_split, sentence_filter, normalize_phrase, pos_tags, ngrams_span, title_scan, embed_cap, term_stats, yake_term_score, doc_freq_tfidf, yake_topn, yake_boosted, gram_windows,
     markdown_tokens, anchor_extract, ground_truth_links, strip_links, alias_removal, protected_zones, strip_mentions, write_back, title_clean, vocab_filter, entity_decode,
     corpus_dedup_lower, corpus_dedup_cased, quota_union, reservoir_sample, corpus_manifest,
 ]
 
+#: Digits that no text has.
+_PRIVATE = "".join(map(chr, range(0xE000, 0xE00A)))
 _ends = lambda suffixes: " OR ".join(f"ends_with(w, '{s}')" for s in suffixes)
 _FILTERED = f"""{SENTENCE_WORDS},
     fw AS (SELECT doc_id, sent_idx, list_filter(w, lambda x: lower(x) NOT IN {STOP}) AS w FROM sw),
@@ -189,10 +205,42 @@ _FILTERED = f"""{SENTENCE_WORDS},
             count(DISTINCT b.term) FILTER (b.pos < a.pos) AS left_distinct, count(DISTINCT b.term) FILTER (b.pos > a.pos) AS right_distinct
         FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.pos <> b.pos GROUP BY ALL),
     stats AS (SELECT st.*, coalesce(left_total, 0) AS left_total, coalesce(right_total, 0) AS right_total, coalesce(left_distinct, 0) AS left_distinct, coalesce(right_distinct, 0) AS right_distinct FROM st LEFT JOIN ne USING (doc_id, term))"""
+_H = f"""{_FILTERED}, n AS (SELECT *, avg(tf) OVER d AS m, stddev_pop(tf) OVER d AS sd, max(tf) OVER d AS top FROM stats WINDOW d AS (PARTITION BY doc_id)),
+        f AS (SELECT *, greatest(tf_upper, tf_all_caps) / (1 + log2(1 + tf)) AS casing, log2(3 + median_sentence) AS position, tf / (m + sd + 1) AS frequency,
+            1 + (left_distinct / greatest(left_total, 1) + right_distinct / greatest(right_total, 1)) * (tf / top) AS related, n_sent / tf AS different FROM n),
+        hs AS (SELECT doc_id, term, tf, related * position / (casing + 0.5::DOUBLE * frequency / related + different / related + 1e-10) AS h FROM f)"""
+_POS = f"""CASE WHEN n <= 3 THEN 'unknown' WHEN ends_with(w, 'ly') AND n > 4 THEN 'adverb' WHEN ends_with(w, 'ing') AND n > 5 THEN 'noun'
+            WHEN {" OR ".join(f"(ends_with(w, '{s}') AND n > {len(s) + 2})" for s in VERB_SUFFIXES)} THEN 'verb' WHEN {_ends(NOUN_SUFFIXES)} THEN 'noun' WHEN {_ends(ADJECTIVE_SUFFIXES)} THEN 'adj'
+            WHEN o[1] = upper(o[1]) AND o[1] <> lower(o[1]) THEN 'noun' ELSE 'unknown' END"""
+
+
+def _keyphrases(max_n: int, top_n: int, boosted: bool) -> str:
+    """Keyphrases in SQL: every sentence as lists of what its tokens tell, sliced by window."""
+    rare = f"""{TITLES}, dfs AS (SELECT term, count(*) AS df FROM hs GROUP BY 1),
+        ti AS (SELECT doc_id, term, tf * ln((SELECT count(*) FROM documents) / (1 + df)) AS x FROM hs JOIN dfs USING (term)), mt AS (SELECT doc_id, max(x) AS top FROM ti GROUP BY 1),"""
+    boost = "b + CASE WHEN mt.top > 0 THEN 2 * greatest(0, coalesce(list_max(xs), 0)) / mt.top ELSE 0 END + CASE WHEN key IN (SELECT lower(title) FROM titles) THEN 5 ELSE 0 END"
+    return f"""WITH {_H}, {rare if boosted else ""}
+        tok AS (SELECT doc_id, sent_idx, unnest(w) AS o, unnest(range(1, len(w) + 1)) AS i FROM sw), tl AS (SELECT *, lower(o) AS w, length(o) AS n FROM tok),
+        tp AS (SELECT tl.*, w NOT IN {STOP} AS good, {_POS} AS pos, hs.h, {"ti.x" if boosted else "NULL::DOUBLE"} AS x FROM tl LEFT JOIN hs ON hs.doc_id = tl.doc_id AND hs.term = w {"LEFT JOIN ti ON ti.doc_id = tl.doc_id AND ti.term = w" if boosted else ""}),
+        sl AS (SELECT doc_id, sent_idx, list(o ORDER BY i) AS o, list(w ORDER BY i) AS w, list(good ORDER BY i) AS good, list(pos NOT IN ('verb', 'adverb') ORDER BY i) AS plain, list(pos IN ('noun', 'unknown') ORDER BY i) AS ends,
+            list(CASE WHEN good THEN coalesce(h, 1) END ORDER BY i) AS h, list(CASE WHEN good THEN x END ORDER BY i) AS x FROM tp GROUP BY ALL),
+        wn AS (SELECT *, unnest(range(1, {max_n + 1})) AS n FROM sl), wi AS (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM wn),
+        wk AS (SELECT doc_id, sent_idx, n, i, array_to_string(w[i:i + n - 1], ' ') AS key, array_to_string(o[i:i + n - 1], ' ') AS phrase,
+            CASE WHEN ends[i + n - 1] AND list_bool_and(plain[i:i + n - 1]) THEN 4 ELSE 0 END AS b, list_filter(h[i:i + n - 1], lambda v: v IS NOT NULL) AS hl, list_filter(x[i:i + n - 1], lambda v: v IS NOT NULL) AS xs
+            FROM wi WHERE good[i] AND good[i + n - 1] AND (n > 1 OR length(w[i]) > 1)),
+        wp AS (SELECT *, sent_idx * 10000000 + n * 500000 + i AS place FROM wk),
+        ks AS (SELECT doc_id, key, count(*) AS gram_tf, arg_max({{'phrase': phrase, 'b': b, 'place': place}}, b * 10000000000 - place) AS t, any_value(hl) AS hl, any_value(xs) AS xs FROM wp GROUP BY ALL),
+        kr AS (SELECT ks.doc_id, key, t.phrase AS phrase, t.place AS place, exp(list_sum(list_transform(hl, lambda v: ln(v))) / len(hl)) / (greatest(1, gram_tf) * (1 + list_sum(hl) / len(hl))) / (1 + {boost.replace("b + ", "t.b + ", 1) if boosted else "t.b"}) AS raw
+            FROM ks {"JOIN mt ON mt.doc_id = ks.doc_id" if boosted else ""}),
+        ko AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9), length(phrase) DESC, place, phrase)::INTEGER AS rank FROM kr QUALIFY rank <= {top_n}),
+        km AS (SELECT *, min(raw) OVER d AS low, max(raw) OVER d AS high FROM ko WINDOW d AS (PARTITION BY doc_id))
+        SELECT doc_id, phrase, round(CASE WHEN high > low THEN (raw - low) / (high - low) ELSE 0 END, 6) AS score, rank FROM km"""
+
+
 _SPANS = f"""{GRAMS},
     ok AS (SELECT *, lower(array_to_string(ws, ' ')) AS key, array_to_string(ws, ' ') AS phrase FROM grams WHERE lower(ws[-1]) NOT IN {STOP} AND (n > 1 OR length(ws[1]) > 1)),
     spans AS (SELECT doc_id, key, arg_min(phrase, sent_idx * 1000000 + n * 100000 + i) AS phrase, min(sent_idx * 1000000 + n * 100000 + i) AS place FROM ok GROUP BY ALL)"""
-_NORM = "trim(strip_accents(regexp_replace(regexp_replace(lower({0}), '\\s+', ' ', 'g'), '''s\\b', '', 'g')))"
+_NORM = NORM
 _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)"
 _MUL = lambda a, b: f"(({a})::HUGEINT * ({b})::HUGEINT % 4294967296)::BIGINT"
 _CLEAN = """t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS raw FROM pages),
@@ -214,18 +262,36 @@ ORACLES = {
         FROM notes, t WHERE regexp_matches(content, '(?i)(^|[^a-zA-Z0-9])' || t.title || '($|[^a-zA-Z0-9])')""",
     "embed_cap": f"WITH {_SPANS}, r AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY length(phrase), place, phrase) AS r FROM spans) SELECT doc_id, phrase FROM r WHERE r <= 60",
     "term_stats": f"WITH {_FILTERED} SELECT doc_id, term, tf, tf_upper, tf_all_caps, left_total, right_total, left_distinct, right_distinct, median_sentence FROM stats",
-    "yake_term_score": f"""WITH {_FILTERED}, n AS (SELECT *, avg(tf) OVER d AS m, stddev_pop(tf) OVER d AS sd, max(tf) OVER d AS top FROM stats WINDOW d AS (PARTITION BY doc_id)),
-        f AS (SELECT *, greatest(tf_upper, tf_all_caps) / (1 + log2(1 + tf)) AS casing, log2(3 + median_sentence) AS position, tf / (m + sd + 1) AS frequency,
-            1 + (left_distinct / greatest(left_total, 1) + right_distinct / greatest(right_total, 1)) * (tf / top) AS related, n_sent / tf AS different FROM n)
-        SELECT doc_id, term, round(related * position / (casing + 0.5::DOUBLE * frequency / related + different / related + 1e-10), 6) AS h FROM f""",
+    "yake_term_score": f"WITH {_H} SELECT doc_id, term, round(h, 6) AS h FROM hs",
     "doc_freq_tfidf": f"WITH {_FILTERED}, d AS (SELECT term, count(*) AS df FROM stats GROUP BY 1) SELECT doc_id, term, tf, df, round(tf * ln((SELECT count(*) FROM documents) / (1 + df)), 6) AS tfidf FROM stats JOIN d USING (term)",
+    "yake_topn": _keyphrases(10, 200, False),
+    "yake_boosted": _keyphrases(3, 50, True),
+    "gram_windows": f"WITH {GRAMS}, g AS (SELECT doc_id, n, lower(array_to_string(ws, ' ')) AS t FROM grams) SELECT doc_id, n::INTEGER AS n, count(*) AS windows, sum(length(t))::BIGINT AS n_chars, min(t) AS first, max(t) AS last FROM g GROUP BY ALL",
+    "entity_decode": r"""WITH s AS (SELECT page_id, string_split(html, '&') AS p FROM pages),
+        x AS (SELECT page_id, p[1] AS head, list_transform(p[2:], lambda y: {'y': y, 'b': regexp_extract(y, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);', 1)}) AS l FROM s),
+        d AS (SELECT page_id, head || array_to_string(list_transform(l, lambda v: CASE WHEN v.b IN ('amp', 'lt', 'gt', 'quot', 'apos') THEN CASE v.b WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' ELSE '''' END || substr(v.y, length(v.b) + 2)
+            WHEN regexp_matches(v.b, '^#[0-9]+$') THEN chr(substr(v.b, 2)::INTEGER) || substr(v.y, length(v.b) + 2) WHEN starts_with(v.b, '#') THEN chr(('0x' || substr(v.b, 3))::INTEGER) || substr(v.y, length(v.b) + 2) ELSE '&' || v.y END), '') AS t FROM x)
+        SELECT page_id, md5(t) AS html_md5 FROM d""",
+    "strip_mentions": rf"""WITH RECURSIVE {DECORATED}, tt AS (SELECT DISTINCT title FROM notes), o AS (SELECT title, row_number() OVER (ORDER BY length(title) DESC, title) AS k FROM tt),
+        r AS (SELECT note_id, title, other, chr(10) || '# ' || title || chr(10) || chr(10) || text || ' ' AS body, 1 AS k FROM notes
+            UNION ALL SELECT note_id, r.title, other, CASE WHEN o.title = r.title THEN body ELSE regexp_replace(body, '(?i)' || o.title || '', '', 'g') END, r.k + 1 FROM r JOIN o ON o.k = r.k)
+        SELECT note_id, md5('---' || chr(10) || 'tags: x' || chr(10) || '---' || body || '[[' || title || ']] ![[img.png]] [[' || other || '|see it]] [[' || other || '#part]]' || chr(10) || '```' || chr(10) || '[[code]]' || chr(10) || '```' || chr(10) || '%% wiki footer' || chr(10) || '[[foot]]') AS content_md5
+        FROM r WHERE k = (SELECT count(*) + 1 FROM o)""",
+    # every run of letters and digits carries its offset, in digits of a private kind, through marks, sentences and tokens
+    "markdown_tokens": rf"""WITH {DECORATED}, pc AS (SELECT note_id, unnest(regexp_extract_all(content, '(?s)[a-zA-Z0-9]+|[^a-zA-Z0-9]+')) AS x, unnest(range(len(regexp_extract_all(content, '(?s)[a-zA-Z0-9]+|[^a-zA-Z0-9]+')))) AS k FROM notes),
+        po AS (SELECT *, sum(length(x)) OVER (PARTITION BY note_id ORDER BY k) - length(x) AS place FROM pc),
+        pm AS (SELECT note_id, string_agg(CASE WHEN regexp_matches(x, '^[a-zA-Z0-9]') THEN translate(CAST(CAST(place AS BIGINT) AS VARCHAR), '0123456789', '{_PRIVATE}') ELSE '' END || x, '' ORDER BY k) AS c FROM po GROUP BY 1),
+        md AS (SELECT note_id AS doc_id, regexp_replace(c, '{MARKS}', '\1\2\3', 'g') AS text FROM pm), ms AS (SELECT doc_id, {SENTENCES} AS ss FROM md),
+        me AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS sent_idx FROM ms),
+        mt AS (SELECT doc_id, sent_idx, unnest(regexp_extract_all(s, '[a-zA-Z0-9{_PRIVATE}]+(?:[''’][a-zA-Z{_PRIVATE}]+)*')) AS t FROM me)
+        SELECT doc_id AS note_id, max(sent_idx)::INTEGER AS last_sentence, count(*) AS n_tokens, sum(translate(regexp_extract(t, '^([{_PRIVATE}]+)', 1), '{_PRIVATE}', '0123456789')::BIGINT)::BIGINT AS starts FROM mt GROUP BY 1""",
     "anchor_extract": rf"WITH {DECORATED}, a AS (SELECT note_id, unnest(regexp_extract_all(content, '\[\[([^\[\]|]+(?:\|[^\[\]]+)?)\]\]', 1)) AS x FROM notes), b AS (SELECT note_id, trim(string_split(string_split(x, '|')[-1], '#')[1]) AS anchor FROM a) SELECT * FROM b WHERE anchor <> ''",
     "ground_truth_links": rf"""WITH {DECORATED}, b AS (SELECT note_id, title, string_split(regexp_replace(regexp_replace(content, '(?s)^---\n.*?\n---\n?', ''), '(?s)```.*?```', '', 'g'), '%% wiki footer')[1] AS body FROM notes),
         l AS (SELECT note_id, title, unnest(regexp_extract_all(body, '!?\[\[[^\]]+\]\]')) AS x FROM b), t AS (SELECT note_id, title, {_NORM.format("regexp_extract(x, '^\\[\\[([^\\]|#]*)', 1)")} AS target FROM l WHERE NOT starts_with(x, '!'))
         SELECT DISTINCT note_id, target FROM t WHERE target <> '' AND target <> {_NORM.format("title")}""",
     "strip_links": rf"""WITH {DECORATED} SELECT note_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '!\[\[[^\]]*\]\]', '', 'g'), '\[\[[^\]|]+\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]#]+)#[^\]]*\]\]', '\1', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g')) AS stripped_md5 FROM notes""",
     "alias_removal": f"WITH {DECORATED} SELECT note_id, md5(replace(content, '[[' || other || '|see it]]', '')) AS removed_md5 FROM notes",
-    "protected_zones": f"WITH {DECORATED}, z AS (SELECT note_id, substr(content, 1, 15) AS front, instr(content, '%% wiki footer') AS cut, content FROM notes) SELECT note_id, front, md5(substr(content, 16, cut - 16)) AS body_md5, substr(content, cut) AS footer FROM z",
+    "protected_zones": f"WITH {DECORATED}, z AS (SELECT note_id, regexp_extract(content, '(?s)^(---.*?\\n---)', 1) AS front, instr(content, '%% wiki footer') AS cut, content FROM notes) SELECT note_id, front, md5(substr(content, length(front) + 1, cut - length(front) - 1)) AS body_md5, substr(content, cut) AS footer FROM z",
     "write_back": """WITH w AS (SELECT doc_id, text, regexp_extract(text, '([a-zA-Z]+)', 1) AS word FROM documents),
         s AS (SELECT *, instr(text, word) - 1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS a FROM w),
         r AS (SELECT *, substr(text, a + 1, length(word)) <> word AS drift FROM s)
