@@ -22,8 +22,8 @@ def slow_lcs(a, b):
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
 def test_lcs(a, b):
     assert resolve.lcs_length(a, b) == slow_lcs(a, b)
-    (x, y, m), (p, q, n) = resolve.letter_masks(a), resolve.letter_masks(b)
-    bound = ((x & p) & (2**64 - 1)).bit_count() + ((y & q) & (2**64 - 1)).bit_count() + min(m, n)
+    x, y, m = resolve.letter_masks([a, b])
+    bound = int(x[0] & x[1]).bit_count() + int(y[0] & y[1]).bit_count() + min(m)
     assert bound >= slow_lcs(a, b)
 
 
@@ -31,7 +31,10 @@ def norm(s):
     return " ".join(s.lower().split())
 
 
-def test_lcs_join_equals_brute_force(spark):
+@pytest.mark.parametrize("sent", [True, False])
+def test_lcs_join_equals_brute_force(spark, sent, monkeypatch):
+    if not sent:
+        monkeypatch.setattr(resolve, "is_small", lambda df: False)
     g = random.Random(3)
     words = ["data", "lake", "lakes", "spark", "sparks", "stream", "streams", "the", "of", "graph"]
     phrases = sorted({" ".join(g.choices(words, k=g.randint(1, 3))) for _ in range(60)})
@@ -52,12 +55,66 @@ def test_lcs_join_equals_brute_force(spark):
     assert {(r.phrase, r.title, round(r.similarity, 9)) for r in got.collect()} == want
 
 
-def test_self_link_doesnt_take_a_place(spark):
+@pytest.mark.parametrize("sent", [True, False])
+def test_self_link_doesnt_take_a_place(spark, sent, monkeypatch):
+    if not sent:
+        monkeypatch.setattr(resolve, "is_small", lambda df: False)
     phrases = spark.createDataFrame([(1, "A/Data Lake.md", "data lake", 0.0)], "note_id int, source_name string, phrase string, score double").withColumn("source_name", F.lit("Data Lake"))
     titles = spark.createDataFrame([("Data Lake", 0), ("Data Lakes", 1), ("Data Lake X", 2)], "title string, ord int")
     assert {r.title for r in resolve.resolve_lcs(phrases, titles, per_phrase=2).collect()} == {"Data Lakes"} | ({"Data Lake X"} if 9 / 11 >= 0.85 else set())
 
 
+def test_title_index_equals_all_pairs():
+    g = random.Random(5)
+    words = ["a", "the", "lake", "lakes", "of", "étang", "stream's", "x" * 30]
+    titles = ["".join([" ".join(g.choices(words, k=g.randint(1, 4)))]) for _ in range(80)]
+    phrases = [" ".join(g.choices([*words, "laké"], k=g.randint(1, 5))) for _ in range(200)] + ["", "nothing"]
+    index = resolve.TitleIndex(titles, 0.85)
+    want = []
+    for i, p in enumerate(phrases):
+        for j, t in enumerate(titles):
+            shared = [k for k, w in enumerate(p.split(" ")) if w in t.split(" ")]
+            s = slow_lcs(p, t) / max(len(p), len(t)) if p else 0
+            s = min(1.0, s * (1.5 if p == t else 1.1 if t in p else 1.0))
+            if shared and s >= 0.85:
+                want.append((i, -s, shared[0], j))
+    assert index.match(phrases) == sorted(want) == index.match(phrases, pairs=7) and len(want) > 50
+    assert resolve.TitleIndex([], 0.85).match(["a"]) == []
+
+
+def test_resumed_embedding(spark, tmp_path):
+    root, calls = str(tmp_path / "e"), spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return embed.hash_embedder(4)(texts)
+
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    assert embed.embed_resumed(texts, root, embedder, "m", 4).count() == 2 and calls.value == 2
+    more = texts.unionByName(spark.createDataFrame([("c",)], "text string"))
+    assert {r.text for r in embed.embed_resumed(more, root, embedder, "m", 4).collect()} == {"a", "b", "c"} and calls.value == 3
+    assert embed.embed_resumed(texts, root, embedder, "other", 4).count() == 2 and calls.value == 5
+    pooled = embed.pooled_embedder(lambda t: (np.arange(12.0).reshape(1, 3, 4).repeat(len(t), 0), np.array([[1, 1, 0]] * len(t))))
+    assert np.allclose(pooled(["x"])[0], np.array([2, 3, 4, 5]) / np.linalg.norm([2, 3, 4, 5]))
+
+
+class Slow:
+    def __call__(self, texts):
+        import time
+
+        time.sleep(2)
+
+    def dispose(self):
+        pass
+
+
+def test_a_slow_embedder_fails(spark):
+    with pytest.raises(Exception, match="Timeout"):
+        embed.embed_texts(spark.createDataFrame([("a",)], "text string"), Slow(), seconds=0.2).collect()
+    high = spark.createDataFrame([("a", False), ("b", True), ("a", True)], "text string, high boolean")
+    assert sorted(r.text for r in embed.embed_texts(high, embed.hash_embedder(2)).collect()) == ["a", "b"]
+
+
 @pytest.mark.parametrize("block", [3, 100])
 def test_dense_join_equals_brute_force(spark, block):
     g = np.random.default_rng(0)

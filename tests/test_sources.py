@@ -111,3 +111,78 @@ def test_exact_queue_stream(spark, tmp_path):
     q.stop()
     fired = [(r.path, int(r.fires.timestamp() * 1000)) for r in spark.table("fired").collect()]
     assert ("a", 1700) in fired and all(p != "b" for p, _ in fired)
+
+
+def test_abstracts_pages_and_lemmas(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<feed><doc><abstract>one <abstract>two</abstract> three &lt; 4</abstract></doc><doc><title>x</title></doc><doc><abstract>last</abstract></doc></feed>")
+    assert [r.abstract for r in notes.read_abstracts(spark, str(tmp_path / "a.xml")).collect()] == ["one two three < 4", "last"]
+    page = "<page><title>T{0}</title><revision><text xml:space='preserve'>body {0}</text></revision></page>"
+    (tmp_path / "p.xml").write_text("<dump>" + "".join(page.format(i) for i in range(5)) + "</dump>")
+    assert notes.read_pages(spark, str(tmp_path / "p.xml"), 2).count() == 2 and notes.read_pages(spark, str(tmp_path / "p.xml")).count() == 5
+    (tmp_path / "data.noun").write_text("  1 This is a license line\n00001740 03 n 02 data_lake 0 Lake 1 003 ~ 00001930 n 0000 | text\n00002137 03 a 01 little(p) 0 000 | x\n")
+    assert sorted(r.lemma for r in notes.read_lemmas(spark, str(tmp_path / "data.noun")).collect()) == ["Lake", "data lake", "little"]
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 9.0, 5.0), ("b", 1.0, None), ("c", 7.0, 2.0)], "label string, cold_p50 double, warm_p50 double")
+    assert [r.label for r in notes.headline(rows).collect()] == ["b", "c", "a"]
+    assert len(notes.markdown_table(spark.range(1500)).splitlines()) == 1502
+    paths = spark.createDataFrame([("b.md",), ("a.md",), ("c.md",)], "path string")
+    assert [r.path for r in notes.first_notes(paths, 2).collect()] == ["a.md", "b.md"]
+
+
+def test_persist_times(spark):
+    g, rows = __import__("random").Random(1), []
+    for k in "ab":
+        t = 0
+        for _ in range(60):
+            t += g.choice([50, 100, 250, 299, 300, 301, 900])
+            rows.append((k, t))
+    want = []
+    for k in "ab":
+        first = last = n = None
+        for t in [t for x, t in rows if x == k]:
+            if first is not None and t >= min(last + 300, first + 1000):
+                want.append((k, min(last + 300, first + 1000), n))
+                first = None
+            first, last, n = (t, t, 1) if first is None else (first, t, n + 1)
+        want.append((k, min(last + 300, first + 1000), n))
+    df = spark.createDataFrame(rows, "store string, t long").repartition(3)
+    assert sorted(map(tuple, queue.persist_times(df, most_ms=1000).collect())) == sorted(want)
+
+
+def test_events_count_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = '{"ts": "2024-01-01T00:00:0%dZ", "path": "%s", "type": "modify"}\n'
+    (tmp_path / "in" / "1.json").write_text(line % (1, "a.md") + line % (1, "a.md") + line % (2, "b.txt"))
+    (tmp_path / "in" / "2.json").write_text(line % (1, "a.md") + line % (3, "a.md"))
+    q = queue.read_events(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.path, r.ts.second) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a.md", 1), ("a.md", 3)]
+
+
+def test_vault_queue_with_focus(spark, tmp_path):
+    rows = [(0, "a.md", "enqueue"), (100, "b.md", "enqueue"), (200, "b.md", "focus"), (300, "b.md", "enqueue"), (350, "c.md", "enqueue"), (900, "b.md", "enqueue"), (1000, "d.md", "enqueue"), (1050, "x", "flush"), (1200, "e.md", "enqueue"), (1300, "e.md", "cancel"), (1400, "c.md", "force")]
+    df = spark.createDataFrame([(t, "v", p, a) for t, p, a in rows], "ms long, vault string, path string, action string").select(F.timestamp_millis("ms").alias("ts"), "vault", "path", "action")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([(60_000, "w", "z", "cancel")], "ms long, vault string, path string, action string").select(F.timestamp_millis("ms").alias("ts"), "vault", "path", "action")
+    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = queue.vault_jobs(stream).writeStream.format("memory").queryName("vault_fired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    fired = sorted((int(r.fires.timestamp() * 1000), r.path) for r in spark.table("vault_fired").collect())
+    # the focus cancels a and b's normal job; b fires at 500; c at 850; the flush runs b (again, no cooldown) and d; e is cancelled; c is forced
+    assert fired == [(500, "b.md"), (850, "c.md"), (1050, "b.md"), (1050, "d.md"), (1400, "c.md")]
+
+
+def test_failed_notes_are_left_out(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, n int").withColumn("ts", F.timestamp_seconds("n")).drop("n")
+    jobs.write.parquet(str(tmp_path / "in"))
+
+    def resolve(latest):
+        return latest.select(F.col("path").alias("source_id"), F.when(F.col("path") == "b", F.raise_error(F.lit("bad note"))).otherwise(F.col("path")).alias("target"))
+
+    q = queue.publish(spark.readStream.schema(jobs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), resolve, available_now=True, skip_failed=True)
+    q.awaitTermination()
+    assert {r.source_id for r in spark.read.parquet(str(tmp_path / "out/edges")).collect()} == {"a", "c"}

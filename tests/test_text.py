@@ -152,6 +152,33 @@ def test_yake_scores(spark):
     assert sorted(order, key=lambda p: score[p]["rank"]) == order
 
 
+@pytest.mark.parametrize("boosted", [False, True])
+@pytest.mark.parametrize("markdown", [False, True])
+def test_note_phrases_equal_the_aggregates(spark, boosted, markdown, monkeypatch):
+    rows = [(1, "# Big Data\n\nSpark streams **big data**. Data lakes hold Spark data and SQL data! BIG data lakes, big Data. Quickly organize it's don't"), (2, ""), (3, None), (4, "a. the of"), (5, "One. two. One two one. ONE TWO")]
+    notes = spark.createDataFrame(rows, "note_id int, text string")
+    titles = spark.createDataFrame([("data lakes",), ("One",)], "t string") if boosted else None
+    df = spark.createDataFrame([("data", 3), ("big", 1), ("one", 1)], "term string, df long") if boosted else None
+    get = lambda: sorted((r.note_id, r["rank"], r.phrase, round(r.score, 9), r.start, r.end, r.span_id) for r in yake.note_phrases(notes, titles=titles, frequencies=df, total=9, max_n=4, top_n=25, markdown=markdown).collect())
+    got = get()
+    assert {r[0] for r in got} == {1, 5} and len(got) > 20
+    monkeypatch.setattr(yake, "is_small", lambda *a, **k: False)
+    if not boosted:
+        monkeypatch.setattr(yake, "note_phrases", lambda n, max_n, top_n, markdown, **k: yake.phrases(yake.note_sentences(n, "note_id", "text", markdown), None, None, max_n, top_n))
+    assert get() == got
+
+
+def test_pos_of_a_word(spark):
+    words = ["the", "quickly", "running", "organize", "size", "nation", "beautiful", "Paris", "thing", "fly", "ABC", "ring", "able", "x1'S"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r.word: r.pos for r in yake.pos_tags(rows).collect()} == {w: T.pos_of(w) for w in words}
+
+
+def test_durations(spark):
+    rows = spark.createDataFrame([(0.0,), (59.9,), (60.0,), (3605.0,), (90061.0,), (-1.0,), (float("inf"),), (float("nan"),), (None,)], "s double")
+    assert [r[0] for r in rows.select(T.duration(F.col("s"))).collect()] == ["0s", "59s", "1m 0s", "1h 0m 5s", "25h 1m 1s", "?", "?", "?", "?"]
+
+
 def test_corpus_filters(spark):
     clean = lambda x: one(spark, x, corpus.clean_title)
     assert clean("Data_Lake") == "Data Lake" and clean("File:x.png") is None and clean("123") is None and clean("List of things") is None and clean("ab") is None and clean("Ω ω Ωω") is None
