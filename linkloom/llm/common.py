@@ -182,48 +182,64 @@ def _mapped(change, names: list[str]):
     return run
 
 
-def _local_forest(batches):
-    """Replaces the links of one partition by a spanning forest of stars (root, member)."""
-    import pyarrow as pa
-
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            a, c = find(u), find(v)
-            if a != c:
-                parent[max(a, c)] = min(a, c)
-    out = [(find(x), x) for x in parent]
-    out = [p for p in out if p[0] != p[1]]
-    for i in range(0, len(out), 50_000):
-        part = out[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
+#: So many links at most are brought together in one task.
+MOST_LINKS = 200_000
+
+
+def _local_forest(loops: bool = False):
+    """Replaces the links of one partition by a spanning forest of stars (root, member); the root is the smallest.
+    With loops, (root, root) is among them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while parent[root] != root:
+                root = parent[root]
+            while parent[x] != root:
+                parent[x], x = root, parent[x]
+            return root
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, c = find(u), find(v)
+                if a != c:
+                    parent[max(a, c)] = min(a, c)
+        out = [(r, x) for x in parent if (r := find(x)) != x or loops]
+        for i in range(0, len(out), 50_000):
+            part = out[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node of links: root is the smallest node reachable.
 
-    Contraction: every node points to its smallest neighbour, pointers are followed twice, links are
-    redrawn between the targets, until none is left; then the maps are composed and every component takes
+    Every task first replaces its links by a spanning forest; if at most MOST_LINKS are left, one task joins them.
+    Otherwise links contract: every node points to its smallest neighbour, pointers are followed twice, links are
+    redrawn between the targets, until few enough are left; then the maps are composed and every component takes
     its smallest node. "Smallest" is meant after a one-to-one mixing of the numbers while links contract, so
     whatever order nodes have along a chain, a round leaves a fixed part of them at most and the rounds
     are logarithmic in the number of nodes. All joins are on nodes of the shrinking graph; min() combines before
     the shuffle, so hubs don't gather in a task. Links whose ends are null or equal are ignored.
     """
+    forest = lambda df, loops=False: df.mapInArrow(_local_forest(loops), "u long, v long")
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = work_table(edges.mapInArrow(_mapped(mixed, ["u", "v"]), "u long, v long").mapInArrow(_local_forest, "u long, v long"), "links")
+    edges = work_table(forest(edges), "links")
+    if edges.count() <= MOST_LINKS:
+        out = work_table(forest(edges.coalesce(1), True).select(F.col("v").alias("node"), F.col("u").alias("root")), "roots")
+        discard(edges)
+        return out
+    plain, edges = edges, work_table(forest(edges.mapInArrow(_mapped(mixed, ["u", "v"]), "u long, v long")), "links")
+    discard(plain)
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.count() > MOST_LINKS:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         near = work_table(near, "near")
@@ -234,12 +250,11 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         c = hop.select(F.col("u").alias("k2"), F.col("m").alias("m2"))
         redrawn = edges.join(a, F.col("u") == F.col("k1")).join(c, F.col("v") == F.col("k2"))
         redrawn = redrawn.select(F.least("m1", "m2").alias("u"), F.greatest("m1", "m2").alias("v")).where("u <> v").distinct()
-        left = work_table(redrawn.mapInArrow(_local_forest, "u long, v long"), "links")
+        left = work_table(forest(redrawn), "links")
         discard(edges, near)
         edges = left
+    maps.append(work_table(forest(edges.coalesce(1), True).select(F.col("v").alias("u"), F.col("u").alias("m")), "hop"))
     discard(edges)
-    if not maps:
-        return links.sparkSession.createDataFrame([], "node long, root long")
     out = maps[0].select(F.col("u").alias("node"), F.col("m").alias("root"))
     for later in maps[1:]:
         nxt = later.select(F.col("u").alias("k"), F.col("m").alias("up"))

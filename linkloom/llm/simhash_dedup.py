@@ -256,12 +256,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # can be common, which must reach t / (1 + t) of n + m. The parities of how many shingles fall into
 # each of SKETCH slots differ in at most as many slots as the sets differ in shingles, which must be
 # within (1 - t) / (1 + t) of n + m. Pairs that meet at a shingle and stay within these bounds are
-# candidates; clusters of candidates are then checked on their texts. The order puts shingles last that
+# candidates. Sets of more shingles than slots look alike to a sketch of SKETCH slots, so clusters of candidates are
+# parted by wide sketches, whose slots grow with the set, before they are checked on their texts. The order puts shingles last that
 # a sample of documents shows to be common: it decides how many rows meet, never which pairs are found.
 # Rows whose sets are equal are one class from the start, of which one row takes part in the search.
 
-#: Slots of a sketch.
-SKETCH = 1024
+#: Slots of a sketch, and the most that a wide one has.
+SKETCH, WIDEST = 1024, 1 << 20
 #: One document in so many is sampled for common shingles; at most so many shingles are put last.
 SAMPLE, COMMON = 16, 1 << 16
 #: Bounds are loosened by this much against rounding.
@@ -286,6 +287,21 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view("<u8")
 
 
+def wide_sketch(values: np.ndarray) -> np.ndarray:
+    """The same with a number of slots, a power of two, of at least twice the number of shingles."""
+    slots = SKETCH
+    while slots < min(2 * len(values), WIDEST):
+        slots *= 2
+    parity = np.bincount((values & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(parity.astype(np.uint8)).view("<u8")
+
+
+def folded(wide: np.ndarray) -> np.ndarray:
+    """Wide sketches (rows) with half as many slots: a slot's parity is that of the two that fall into it."""
+    half = wide.shape[1] // 2
+    return wide[:, :half] ^ wide[:, half:]
+
+
 def _shingled(width: int):
     def run(batches):
         import pyarrow as pa
@@ -317,9 +333,10 @@ def _signed(width: int, similarity: float, common: np.ndarray):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             keys = [prefix(s, similarity, common).view(np.int64) for s in sets]
             sketches = [sketch(s).view(np.int64) for s in sets]
+            wide = [wide_sketch(s).view(np.int64) if len(s) > SKETCH // 2 else None for s in sets]
             whole = [xxh3_128_intdigest(s.tobytes()) for s in sets]
             h = [pa.array(np.array([x >> at & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64)) for at in (0, 64)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int32()), *h, pa.array(keys, lists), pa.array(sketches, lists)], names=["doc_id", "hash", "size", "h0", "h1", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int32()), *h, pa.array(keys, lists), pa.array(sketches, lists), pa.array(wide, lists)], names=["doc_id", "hash", "size", "h0", "h1", "keys", "sketch", "wide"])
 
     return run
 
@@ -368,70 +385,150 @@ def _candidates(similarity: float):
     return run
 
 
+def _parted(similarity: float):
+    """Links that span all pairs of a group's rows (cluster, cell, row, size, sketch) within the bounds."""
+
+    def spanning(rows: list[int], sizes: list[int], sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+        size, ids, out = np.array(sizes), np.array(rows), []
+        words = np.array([len(x) for x in sketches])
+        at = {w: np.nonzero(words == w)[0] for w in np.unique(words).tolist()}
+        place = np.zeros(len(rows), np.int64)
+        stack, half = {}, {}
+        for w, rows_ in at.items():
+            place[rows_] = np.arange(len(rows_))
+            stack[w] = np.stack([sketches[i] for i in rows_])
+            half[w] = folded(stack[w]) if 2 * w in at or w // 2 in at else None
+        left = np.ones(len(rows), bool)
+
+        def near(x: int) -> np.ndarray:
+            w, hits = int(words[x]), []
+            for other in (w // 2, w, 2 * w):  # alike sets have sizes within a factor of 1 / similarity
+                if other in at:
+                    some = at[other][left[at[other]]]
+                    a = stack[w][place[x]] if other >= w else half[w][place[x]]
+                    b = half[other][place[some]] if other > w else stack[other][place[some]]
+                    total = size[x] + size[some]
+                    ok = np.minimum(size[x], size[some]) >= similarity * np.maximum(size[x], size[some]) - SLACK
+                    ok[ok] = popcount(b[ok] ^ a).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * total[ok] + SLACK
+                    hits.append(some[ok])
+            return np.concatenate(hits)
+
+        for start in range(len(rows)):
+            if not left[start]:
+                continue
+            left[start], queue = False, [start]
+            while queue:
+                x = queue.pop()
+                hit = near(x)
+                left[hit] = False
+                out += [(int(ids[x]), int(ids[y])) for y in hit]
+                queue += hit.tolist()
+        return out
+
+    def run(batches):
+        group, rows, sizes, sketches = None, [], [], []
+        for b in batches:
+            for key, row, size, words in zip(zip(b.column("cluster").to_pylist(), b.column("cell").to_pylist()), b.column("row").to_pylist(), b.column("size").to_pylist(), b.column("sketch")):
+                if key != group:
+                    if len(rows) > 1:
+                        yield _links(spanning(rows, sizes, sketches))
+                    group, rows, sizes, sketches = key, [], [], []
+                rows.append(row)
+                sizes.append(size)
+                sketches.append(words.values.to_numpy(zero_copy_only=False).view(np.uint64))
+        if len(rows) > 1:
+            yield _links(spanning(rows, sizes, sketches))
+
+    return run
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) that span all pairs of sets with at least this Jaccard similarity."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both >= similarity * (sizes.sum() - both) else []
-    cat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    order = np.argsort(cat)
-    cat = cat[order]
-    new = np.ones(len(cat), bool)
-    new[1:] = cat[1:] != cat[:-1]
-    del cat  # a cluster may hold millions of shingles
-    at = np.empty(len(order), np.int32)
-    at[order] = np.cumsum(new, dtype=np.int32) - 1
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-    first = np.append(np.nonzero(new)[0], len(order))
-    del order, new
-    of = np.split(at, np.cumsum(sizes)[:-1]) if n else []
-    empty = sizes == 0
-    out, left = [], np.ones(n, bool)
-    while left.any():
-        queue = [int(np.nonzero(left)[0][0])]
-        left[queue[0]] = False
-        while queue and left.any():
-            x = queue.pop()
-            if empty[x]:
-                hit = left & empty
-            else:
-                both = np.zeros(n, np.int64)
-                for v in of[x]:
-                    both[owner[first[v] : first[v + 1]]] += 1  # a set holds a value once
-                hit = left & (both >= similarity * (sizes + sizes[x] - both))
-            near = np.nonzero(hit)[0]
-            out += [(x, int(y)) for y in near]
-            queue += near.tolist()
-            left[near] = False
-    return out
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; empty ones are alike."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return n == m
+    if min(n, m) < similarity * max(n, m) - SLACK:
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), m - 1)] == a).sum())
+    return both >= similarity * (n + m - both)
+
+
+class Overlaps:
+    """Sets of shingles, indexed: which of them are alike to another."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.similarity, self.sizes = similarity, np.array([len(s) for s in sets])
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.values = every[order]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+
+    def alike(self, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.nonzero(self.sizes == 0)[0]
+        start, end = np.searchsorted(self.values, x), np.searchsorted(self.values, x, "right")
+        n = end - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.nonzero((both >= self.similarity * (self.sizes + len(x) - both)) & (both > 0))[0]
+
+
+def _grouped(batches, keys: tuple[str, ...]):
+    """(key, role, row, text) of key-sorted batches."""
+    for b in byte_batches(batches, "text"):
+        key = zip(*(b.column(k).to_pylist() for k in keys))
+        yield from zip(key, b.column("role").to_pylist(), b.column("m_row").to_pylist(), b.column("text").to_pylist())
 
 
-def _verified(width: int, similarity: float):
+def _links(pairs: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def _to_pivot(width: int, similarity: float):
+    """Links of the rows of a group with its first row, the pivot (role 0); a task holds two sets."""
+
     def run(batches):
-        import pyarrow as pa
+        group, pivot, pivot_set, out = None, None, None, []
+        for key, role, row, text in _grouped(batches, ("cluster", "cell")):
+            if key != group:
+                group, pivot, pivot_set = key, row, shingle_set(text, width)
+            elif row != pivot and alike(pivot_set, shingle_set(text, width), similarity):
+                out.append((pivot, row))
+                if len(out) >= 10_000:
+                    yield _links(out)
+                    out = []
+        yield _links(out)
 
-        def close():
-            links = similar_forest(sets, similarity) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+    return run
 
-        group, ids, sets = None, [], []
-        for b in byte_batches(batches, "text"):
-            for key, row, text in zip(zip(b.column("cluster").to_pylist(), b.column("cell").to_pylist()), b.column("m_row").to_pylist(), b.column("text").to_pylist()):
-                if key != group:
-                    if len(ids) > 1:
-                        yield close()
-                    group, ids, sets = key, [], []
+
+def _to_rest(width: int, similarity: float):
+    """Links of the rows of a group (role 1) with its block of rest rows (role 0), which is held indexed."""
+
+    def run(batches):
+        group, ids, sets, index, out = None, [], [], None, []
+        for key, role, row, text in _grouped(batches, ("cluster", "rest", "cell")):
+            if key != group:
+                group, ids, sets, index = key, [], [], None
+            x = shingle_set(text, width)
+            if role == 0:
                 if row not in ids[-1:]:  # rows that repeat in full come one behind the other
                     ids.append(row)
-                    sets.append(shingle_set(text, width))
-        if len(ids) > 1:
-            yield close()
+                    sets.append(x)
+                continue
+            if index is None:
+                index, sets = Overlaps(sets, similarity), []
+            out += [(ids[i], row) for i in index.alike(x) if ids[i] != row]
+            if len(out) >= 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
 
     return run
 
@@ -454,35 +551,95 @@ def _candidate_links(live: DataFrame, similarity: float, key_block: int) -> Data
     return dealt.mapInArrow(_candidates(similarity), "u long, v long")
 
 
+def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int, pivots: int = 1) -> DataFrame:
+    """(node, root) of the members (m_row, cluster, m_id, m_hash, size) that are alike, by their whole texts.
+
+    A cluster's members are compared with one of them, the pivot, and those that aren't like it with a next one,
+    `pivots` times; each comparison sends every text once. What is left then (the rest: rows that no pivot is
+    like) meets all members of its cluster, in blocks of about `block` rows or `volume` shingles that a
+    task holds while the members stream by. Every link has an end in the rest or is implied: two rows that are
+    like the same pivot are in one group whether they are alike or not.
+    """
+    on = body.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
+    told = lambda rows, *keys: body.join(rows, on).select(*keys, "role", "m_row", "text").repartition(*keys[: len(keys)]).sortWithinPartitions(*keys, "role", "m_row")
+    links, left = [], members
+    for _ in range(pivots):
+        sizes = work_table(left.groupBy("cluster").agg(F.min("m_row").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
+        if sizes.isEmpty():
+            discard(sizes)
+            break
+        cells = F.ceil(F.col("n") / F.lit(block)).cast("int")
+        rows = join_classes(left, sizes.withColumn("cells", cells).select("cluster", "n", "pivot", "cells"), ["cluster"], "n")
+        mine = F.array(F.pmod(F.xxhash64("m_row"), F.col("cells")).cast("int"))
+        is_pivot = F.col("m_row") == F.col("pivot")
+        dealt = work_table(rows.select("cluster", "m_row", "m_id", "m_hash", F.when(is_pivot, 0).otherwise(1).alias("role"), F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(mine)).alias("cell")), "dealt")
+        new = work_table(told(dealt, "cluster", "cell").mapInArrow(_to_pivot(width, similarity), "u long, v long"), "to_pivot")
+        links.append(new)
+        done = new.select(F.col("v").alias("m_row")).unionByName(sizes.select(F.col("pivot").alias("m_row")))
+        left = work_table(left.join(done, "m_row", "left_anti"), "left")
+        discard(dealt, sizes)
+    met = F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles")
+    rest = work_table(left.groupBy("cluster").agg(*met), "rest")
+    if not rest.isEmpty():
+        blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(volume))).cast("int")
+        all_ = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        plan = work_table(all_.join(rest.select("cluster", blocks.alias("blocks")), "cluster").withColumn("cells", F.ceil(F.col("n") / F.lit(4 * block)).cast("int")).select("cluster", "n", "blocks", "cells"), "plan")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda n: F.pmod(F.xxhash64("m_row"), F.col(n)).cast("int")
+        cols = ["cluster", "m_row", "m_id", "m_hash"]
+        held = join_classes(left, plan, ["cluster"], "n").select(*cols, F.lit(0).alias("role"), one("blocks").alias("rest"), every("cells").alias("cell"))
+        by = join_classes(members, plan, ["cluster"], "n").select(*cols, F.lit(1).alias("role"), every("blocks").alias("rest"), one("cells").alias("cell"))
+        dealt = work_table(held.unionByName(by.select(held.columns)), "dealt")
+        links.append(work_table(told(dealt, "cluster", "rest", "cell").mapInArrow(_to_rest(width, similarity), "u long, v long"), "to_rest"))
+        discard(dealt, plan)
+    discard(rest)
+    if not links:
+        return components(members.select(F.col("m_row").alias("u"), F.col("m_row").alias("v")).limit(0))
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    out = components(every)
+    discard(*links)
+    return out
+
+
+def _refined(clustered: DataFrame, signed: DataFrame, similarity: float, block: int, volume: int) -> DataFrame:
+    """clustered (m_row, cluster) with clusters of more than two rows that hold a wide sketch parted into what wide
+    sketches leave alike. Large clusters meet in blocks of sketches, two by two."""
+    rows = clustered.join(signed.select("row", "size", "sketch", "wide"), F.col("m_row") == F.col("row"))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"), F.count("wide").alias("wides"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(32 * volume))).cast("int")
+    mixed_ = work_table(sizes.where("n > 2 and wides > 0").select("cluster", "n", blocks.alias("blocks")), "mixed")
+    if mixed_.isEmpty():
+        return clustered
+    met = join_classes(rows.select("m_row", "cluster", "size", F.coalesce("wide", "sketch").alias("sketch")), mixed_, ["cluster"], "n")
+    dealt = met.select("cluster", _cells(F.col("blocks"), "m_row", 1).alias("cell"), F.col("m_row").alias("row"), "size", "sketch")
+    links = dealt.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_parted(similarity), "u long, v long")
+    parts = components(links).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
+    whole = join_classes(clustered, sizes.where("n <= 2 or wides = 0").select("cluster", "n"), ["cluster"], "n")
+    return whole.select("m_row", "cluster").unionByName(parts)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1000, key_block: int = 8192, volume: int = 1 << 20) -> DataFrame:
     """(doc_id, hash, row, first_id, first_hash, first_row) of the rows of docs that have a near duplicate.
 
     Rows are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; first is
     the row of a group that stays: smallest id, null ids last, then first row. hash is that of the text, so
-    (doc_id, hash) tells rows apart unless they repeat in full. A cluster is checked in blocks of about
-    `block` rows and `volume` shingles that meet two by two.
+    (doc_id, hash) tells rows apart unless they repeat in full.
     """
     body = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     common = common_shingles(body, width)
-    told = body.mapInArrow(_signed(width, similarity, common), "doc_id long, hash long, size int, h0 long, h1 long, keys array<long>, sketch array<long>")
+    told = body.mapInArrow(_signed(width, similarity, common), "doc_id long, hash long, size int, h0 long, h1 long, keys array<long>, sketch array<long>, wide array<long>")
     signed = work_table(told.withColumn("row", F.monotonically_increasing_id()), "signed")
     classes = signed.groupBy("h0", "h1").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = work_table(classes, "classes")
     copies = work_table(join_classes(signed.select("row", "h0", "h1"), classes, ["h0", "h1"], "n").where("row <> kept").select("row", "kept"), "copies")
     live = signed.join(copies.select("row"), "row", "left_anti")
     clustered = components(_candidate_links(live, similarity, key_block)).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
+    clustered = _refined(clustered, signed, similarity, block, volume)
     members = clustered.join(signed.select("row", "doc_id", "hash", "size"), F.col("m_row") == F.col("row")).select("m_row", "cluster", F.col("doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "size")
     members = work_table(members, "members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(F.col("size").cast("long")) / F.lit(volume))).cast("int")
-    large = work_table(members.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).where("blocks > 1").select("cluster", "n", "blocks"), "large_clusters")
-    if large.isEmpty():
-        placed = members.withColumn("blocks", F.lit(1))
-    else:
-        placed = join_classes(members, large, ["cluster"], "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = work_table(placed.select("m_row", "cluster", "m_id", "m_hash", _cells(F.col("blocks"), "m_row", 1).alias("cell")), "placed")
-    told = body.join(placed, body.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))).select("cluster", "cell", "m_row", "text")
-    told = told.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "m_row")
-    found = components(told.mapInArrow(_verified(width, similarity), "u long, v long"))
+    found = _checked(body, members, width, similarity, block, volume)
     kept = classes.select("kept", "n").join(found, F.col("kept") == F.col("node"), "left").select("kept", "n", F.coalesce("root", "kept").alias("root"))
     kept = work_table(kept, "class_roots")
     alone = kept.where("root = kept").select(F.col("kept").alias("node"), "root")  # also in found if others are alike
@@ -492,7 +649,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash")).alias("f")
     first = work_table(named.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")).select("root", "n", F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"), F.col("f.row").alias("first_row")), "firsts")
     out = work_table(join_classes(named, first, ["root"], "n").drop("root"), "groups")
-    discard(signed, classes, copies, members, large, placed, kept, named, first)
+    discard(signed, classes, copies, members, kept, named, first)
     return out
 
 

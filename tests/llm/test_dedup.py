@@ -31,8 +31,9 @@ def close(links, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed,most", [(0, 200_000), (1, 0), (2, 3)])
+def test_components(spark, seed, most, monkeypatch):
+    monkeypatch.setattr("linkloom.llm.common.MOST_LINKS", most)
     g = random.Random(seed)
     links = [(g.randrange(60), g.randrange(60)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
@@ -190,6 +191,31 @@ def test_many_copies_and_alike(spark):
     assert got == dict.fromkeys(alike, 0)
 
 
+def test_wide_sketches_part_what_narrow_ones_leave(spark):
+    g = random.Random(9)
+    base = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n, share in enumerate((0.0, 0.02, 0.05, 0.3, 0.33, 0.36, 0.39)):
+        w = list(base)
+        at = g.randrange(len(w) // 2)
+        w[at : at + int(share * len(w))] = [f"n{n}x{i}" for i in range(int(share * len(w)))]
+        rows.append((n, " ".join(w)))
+    rows += [(10, " ".join(base[:400])), (11, " ".join(base[:400] + ["more"] * 9)), (12, "short text here")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for i, t in rows for w in [t.split()]}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = close(links, sets)
+    for block in (1000, 2):
+        got = {r.node: r.root for r in sd.similar_components(docs(spark, rows), block=block).collect()}
+        assert {i: got.get(i, i) for i in sets} == want and set(want.values()) > {0, 10, 12}
+    x = g.sample(range(2**62), 5000)
+    s = np.unique(np.array(x, np.uint64))
+    w = sd.wide_sketch(s)
+    assert len(w) * 64 == 16384
+    while len(w) > 16:
+        w = sd.folded(w[None])[0]
+    assert (w == sd.sketch(s)).all()
+
+
 def brute_vectors(rows, t=0.9):
     fine = {i: np.array(v, float) for i, v in enumerate(rows) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= t
