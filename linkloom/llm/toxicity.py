@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Sample. Up to `max_rows` labelled rows outside the held-out fold (the documented bound; chosen by a
-   hash of the id) are read whole. Features of a text are its distinct words and the stems that begin
-   one, two or three of its words, so both exact words and families of compounds can be found.
+   hash of the id) are read whole. Features of a text are its distinct words, the stems that begin
+   one, two or three of its words, so both exact words and families of compounds can be found, and patterns
+   of spelling (shouting, runs of marks, drawn-out and masked words).
 2. Voters. Features that are much likelier in toxic rows are chosen greedily by how many toxic rows
    they newly cover (so the words of one copied row don't fill the lexicon). A voter fires or abstains.
 3. Label model. Firing rates and pairwise firing rates of the voters are counted over all documents.
@@ -36,6 +37,13 @@ from .common import byte_batches, byte_slices, texts, work_table
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word prefixes that are features; "^" marks them.
 PREFIXES = (4, 5, 6, 7)
+# Patterns of spelling that are features.
+PATTERNS = {
+    "!shout": re.compile(r"\b[A-Z]{4,}\b[^.\n]{0,40}\b[A-Z]{4,}\b"),
+    "!marks": re.compile(r"[!?]{3,}"),
+    "!drawn": re.compile(r"([^\W\d_])\1{3,}"),
+    "!masked": re.compile(r"\b[^\W\d_]+[*@#$]+[^\W\d_]+\b"),
+}
 #: Documents whose score is at least this are toxic.
 THRESHOLD = 0.3
 
@@ -50,9 +58,11 @@ def words(text: str | None) -> set[str]:
 
 
 def features(text: str | None) -> set[str]:
-    """Words, "^stem" for a stem that begins a longer word, "2^stem" and "3^stem" for so many such words."""
+    """Words, "^stem" for a stem that begins a longer word, "2^stem" and "3^stem" for so many such words, and
+    "!name" for a pattern."""
     out = words(text)
     begun = Counter(w[:n] for w in out for n in PREFIXES if len(w) > n)
+    out |= {name for name, p in PATTERNS.items() if text and p.search(text)}
     return out.union(*({f"^{p}"} | {f"{k}^{p}" for k in (2, 3) if n >= k} for p, n in begun.items()))
 
 
@@ -60,7 +70,8 @@ class Lexicon:
     """Finds which of the given features a text has."""
 
     def __init__(self, names: list[str]):
-        self.words = {f: i for i, f in enumerate(names) if "^" not in f}
+        self.words = {f: i for i, f in enumerate(names) if "^" not in f and f not in PATTERNS}
+        self.patterns = [(PATTERNS[f].search, i) for i, f in enumerate(names) if f in PATTERNS]
         self.stems: dict[str, list[tuple[int, int]]] = {}
         for i, f in enumerate(names):
             if "^" in f:
@@ -80,6 +91,7 @@ class Lexicon:
                 if (p := w[:n]) in stems:
                     begun[p] = begun.get(p, 0) + 1
         out += [i for p, n in begun.items() for times, i in stems[p] if n >= times]
+        out += [i for search, i in self.patterns if text and search(text)]
         return sorted(out)
 
 
