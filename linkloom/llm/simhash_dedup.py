@@ -551,55 +551,41 @@ def _candidate_links(live: DataFrame, similarity: float, key_block: int) -> Data
     return dealt.mapInArrow(_candidates(similarity), "u long, v long")
 
 
-def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int, pivots: int = 1) -> DataFrame:
+def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int) -> DataFrame:
     """(node, root) of the members (m_row, cluster, m_id, m_hash, size) that are alike, by their whole texts.
 
-    A cluster's members are compared with one of them, the pivot, and those that aren't like it with a next one,
-    `pivots` times; each comparison sends every text once. What is left then (the rest: rows that no pivot is
-    like) meets all members of its cluster, in blocks of about `block` rows or `volume` shingles that a
-    task holds while the members stream by. Every link has an end in the rest or is implied: two rows that are
-    like the same pivot are in one group whether they are alike or not.
+    A cluster's members are compared with one of them, the pivot, which sends every text once; those like it are
+    one group. The rest meets all members of its cluster, in blocks of about `block` rows or `volume` shingles
+    that a task holds while the members stream by. So every link has an end in the rest, or both of its ends
+    are like the pivot.
     """
     on = body.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
-    told = lambda rows, *keys: body.join(rows, on).select(*keys, "role", "m_row", "text").repartition(*keys[: len(keys)]).sortWithinPartitions(*keys, "role", "m_row")
-    links, left = [], members
-    for _ in range(pivots):
-        sizes = work_table(left.groupBy("cluster").agg(F.min("m_row").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pivots")
-        if sizes.isEmpty():
-            discard(sizes)
-            break
-        cells = F.ceil(F.col("n") / F.lit(block)).cast("int")
-        rows = join_classes(left, sizes.withColumn("cells", cells).select("cluster", "n", "pivot", "cells"), ["cluster"], "n")
-        mine = F.array(F.pmod(F.xxhash64("m_row"), F.col("cells")).cast("int"))
-        is_pivot = F.col("m_row") == F.col("pivot")
-        dealt = work_table(rows.select("cluster", "m_row", "m_id", "m_hash", F.when(is_pivot, 0).otherwise(1).alias("role"), F.explode(F.when(is_pivot, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(mine)).alias("cell")), "dealt")
-        new = work_table(told(dealt, "cluster", "cell").mapInArrow(_to_pivot(width, similarity), "u long, v long"), "to_pivot")
-        links.append(new)
-        done = new.select(F.col("v").alias("m_row")).unionByName(sizes.select(F.col("pivot").alias("m_row")))
-        left = work_table(left.join(done, "m_row", "left_anti"), "left")
-        discard(dealt, sizes)
-    met = F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles")
-    rest = work_table(left.groupBy("cluster").agg(*met), "rest")
-    if not rest.isEmpty():
-        blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(volume))).cast("int")
-        all_ = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        plan = work_table(all_.join(rest.select("cluster", blocks.alias("blocks")), "cluster").withColumn("cells", F.ceil(F.col("n") / F.lit(4 * block)).cast("int")).select("cluster", "n", "blocks", "cells"), "plan")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        one = lambda n: F.pmod(F.xxhash64("m_row"), F.col(n)).cast("int")
+    told = lambda rows, *keys: body.join(rows, on).select(*keys, "role", "m_row", "text").repartition(*keys).sortWithinPartitions(*keys, "role", "m_row")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("m_row"), F.col(n)).cast("int")
+    sizes = members.groupBy("cluster").agg(F.min("m_row").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    sizes = work_table(sizes.withColumn("cells", F.ceil(F.col("n") / F.lit(block)).cast("int")), "pivots")
+    rows = join_classes(members, sizes, ["cluster"], "n").withColumn("role", F.when(F.col("m_row") == F.col("pivot"), 0).otherwise(1))
+    placed = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(one("cells")))).alias("cell")
+    dealt = work_table(rows.select("cluster", "m_row", "m_id", "m_hash", "role", placed), "dealt")
+    links = work_table(told(dealt, "cluster", "cell").mapInArrow(_to_pivot(width, similarity), "u long, v long"), "to_pivot")
+    done = links.select(F.col("v").alias("m_row")).unionByName(sizes.select(F.col("pivot").alias("m_row")))
+    left = work_table(members.join(done, "m_row", "left_anti"), "left")
+    discard(dealt)
+    rest = left.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"), F.sum(F.col("size").cast("long")).alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("left") / F.lit(block), F.col("shingles") / F.lit(volume))).cast("int")
+    plan = sizes.select("cluster", "n", F.ceil(F.col("n") / F.lit(4 * block)).cast("int").alias("cells")).join(rest.select("cluster", blocks.alias("blocks")), "cluster")
+    plan = work_table(plan, "plan")
+    tables = [links]
+    if not plan.isEmpty():
         cols = ["cluster", "m_row", "m_id", "m_hash"]
         held = join_classes(left, plan, ["cluster"], "n").select(*cols, F.lit(0).alias("role"), one("blocks").alias("rest"), every("cells").alias("cell"))
         by = join_classes(members, plan, ["cluster"], "n").select(*cols, F.lit(1).alias("role"), every("blocks").alias("rest"), one("cells").alias("cell"))
         dealt = work_table(held.unionByName(by.select(held.columns)), "dealt")
-        links.append(work_table(told(dealt, "cluster", "rest", "cell").mapInArrow(_to_rest(width, similarity), "u long, v long"), "to_rest"))
-        discard(dealt, plan)
-    discard(rest)
-    if not links:
-        return components(members.select(F.col("m_row").alias("u"), F.col("m_row").alias("v")).limit(0))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    out = components(every)
-    discard(*links)
+        tables.append(work_table(told(dealt, "cluster", "rest", "cell").mapInArrow(_to_rest(width, similarity), "u long, v long"), "to_rest"))
+        discard(dealt)
+    out = components(tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1]))
+    discard(sizes, left, plan, *tables)
     return out
 
 
