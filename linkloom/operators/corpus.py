@@ -91,7 +91,9 @@ def quota_union(phrases: DataFrame, quotas: dict[str, int]) -> DataFrame:
     placed = phrases.where(F.col("source").isin(*quotas)).withColumn("source_ord", F.element_at(rank, F.col("source")))
     first = placed.groupBy("phrase").agg(F.min(F.struct("source_ord", "ord", "source")).alias("f")).select("phrase", "f.*")
     w = Window.partitionBy("source").orderBy("ord", "phrase")
-    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.element_at(limit, F.col("source"))).select("source", "source_ord", "ord", "phrase", "n")
+    most = max(quotas.values(), default=0)  # lets tasks cut a source before its rows are brought together
+    ranked = first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return ranked.where(F.col("n") <= F.element_at(limit, F.col("source"))).select("source", "source_ord", "ord", "phrase", "n")
 
 
 def reservoir(items: DataFrame, capacity: int, seed: int) -> DataFrame:

@@ -99,5 +99,20 @@ def resume_row(old: dict | None, new: dict, size: int) -> int:
     return size // row if same and size % row == 0 and size // row <= new["totalRows"] else 0
 
 
+def read_matrix(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(id, v) of the rows of a raw matrix file, numbered from 0; the file is split between tasks by its records."""
+    records = spark.sparkContext.binaryRecords(path, 4 * dims).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column("raw").to_pylist()), "<f4")
+            offsets = pa.array(np.arange(0, len(rows) + 1, dims), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, pa.array(rows))], names=["id", "v"])
+
+    return spark.createDataFrame(records, "id long, raw binary").mapInArrow(run, "id long, v array<float>")
+
+
 def load_matrix(data: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(data, "<f4").reshape(-1, dims)

@@ -123,6 +123,13 @@ def test_abstracts_pages_and_lemmas(spark, tmp_path):
     assert sorted(r.lemma for r in notes.read_lemmas(spark, str(tmp_path / "data.noun")).collect()) == ["Lake", "data lake", "little"]
 
 
+def test_matrix(spark, tmp_path):
+    x = np.arange(60, dtype="<f4").reshape(20, 3)
+    (tmp_path / "m.bin").write_bytes(x.tobytes())
+    got = sorted((r.id, r.v) for r in binary.read_matrix(spark, str(tmp_path / "m.bin"), 3).collect())
+    assert got == [(i, v.tolist()) for i, v in enumerate(x)]
+
+
 def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([("a", 9.0, 5.0), ("b", 1.0, None), ("c", 7.0, 2.0)], "label string, cold_p50 double, warm_p50 double")
     assert [r.label for r in notes.headline(rows).collect()] == ["b", "c", "a"]
