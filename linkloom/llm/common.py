@@ -132,6 +132,29 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Returns unused memory of this process to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """For applications, which own their session: sends Python few rows and bytes at a time, so that executors
+    need little memory. Operators work with any batches and leave settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
+
+
 def _slices(sizes: int, rows: int, limit: int) -> Iterator[tuple[int, int]]:
     parts = max(1, min(rows, -(-sizes // limit)))
     step = max(1, -(-rows // parts))
@@ -140,10 +163,13 @@ def _slices(sizes: int, rows: int, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def byte_batches(batches, column: str, limit: int = 4 << 20):
-    """Cuts record batches so that the texts of one slice stay near limit bytes, whatever a batch holds."""
+    """Cuts record batches so that the texts of one slice stay near limit bytes, whatever a batch holds. Behind
+    the last one the task gives back the memory that it no longer uses, as its process goes on to other tasks."""
     for batch in batches:
         for i, n in _slices(batch.column(column).nbytes if batch.num_rows else 0, batch.num_rows, limit):
             yield batch.slice(i, n)
+        batch = None
+    give_back()
 
 
 def byte_slices(array, limit: int = 4 << 20):
