@@ -509,10 +509,14 @@ def _to_pivot(width: int, similarity: float):
 
 
 def _to_rest(width: int, similarity: float):
-    """Links of the rows of a group (role 1) with its block of rest rows (role 0), which is held indexed."""
+    """Links of the rows of a group (role 1) with its block of rest rows (role 0), which is held indexed.
+
+    A row gives one link at most, to the first rest row that it is like; the others that it is like are linked with
+    that one, where they aren't yet. So a group leaves no more links than it has rows.
+    """
 
     def run(batches):
-        group, ids, sets, index, out = None, [], [], None, []
+        group, ids, sets, index, out, part = None, [], [], None, [], np.zeros(0, np.int64)
         for key, role, row, text in _grouped(batches, ("cluster", "rest", "cell")):
             if key != group:
                 group, ids, sets, index = key, [], [], None
@@ -523,8 +527,16 @@ def _to_rest(width: int, similarity: float):
                     sets.append(x)
                 continue
             if index is None:
-                index, sets = Overlaps(sets, similarity), []
-            out += [(ids[i], row) for i in index.alike(x) if ids[i] != row]
+                index, sets, part = Overlaps(sets, similarity), [], np.arange(len(ids))
+            hit = index.alike(x)
+            if not len(hit):
+                continue
+            parts, one = np.unique(part[hit], return_index=True)
+            if ids[hit[0]] != row:
+                out.append((ids[hit[0]], row))
+            if len(parts) > 1:
+                out += [(ids[hit[0]], ids[i]) for i in hit[one] if part[i] != part[hit[0]]]
+                part[np.isin(part, parts)] = parts[0]
             if len(out) >= 10_000:
                 yield _links(out)
                 out = []
@@ -574,7 +586,7 @@ def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float,
     discard(dealt)
     rest = left.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"), F.sum(F.col("size").cast("long")).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("left") / F.lit(block), F.col("shingles") / F.lit(volume))).cast("int")
-    plan = sizes.select("cluster", "n", F.ceil(F.col("n") / F.lit(4 * block)).cast("int").alias("cells")).join(rest.select("cluster", blocks.alias("blocks")), "cluster")
+    plan = sizes.select("cluster", "n", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("cells")).join(rest.select("cluster", blocks.alias("blocks")), "cluster")
     plan = work_table(plan, "plan")
     tables = [links]
     if not plan.isEmpty():
