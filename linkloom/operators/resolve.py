@@ -7,6 +7,7 @@ comparisons run as a shuffled join on words, and the dense join meets titles blo
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -291,6 +292,20 @@ def resolve_lcs(phrases: DataFrame, titles: DataFrame, threshold: float = LCS_TH
     return short.mapInArrow(run, schema).withColumn("resolver", F.lit("lcs"))
 
 
+def _nearest(s: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest entries of each row that reach the threshold; of equals the first columns."""
+    rounded = np.round(s, 12)
+    if k < s.shape[1]:  # only columns that reach a row's k-th largest entry are sorted
+        least = np.partition(rounded, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        a, b = np.nonzero((s >= threshold) & (rounded >= least[:, None]))
+    else:
+        a, b = np.nonzero(s >= threshold)
+    order = np.lexsort((b, -rounded[a, b], a))
+    a, b = a[order], b[order]
+    kept = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[kept], b[kept]
+
+
 def dense_pairs(left: DataFrame, right: DataFrame, threshold: float = DENSE_THRESHOLD, k: int = PER_PHRASE, block: int = 4096, same: bool = False) -> DataFrame:
     """(l_id, r_id, similarity): for each left vector the k most similar right ones by cosine, in double
     precision. left, right: (id, v). With same, a vector doesn't meet its own id.
@@ -331,13 +346,7 @@ def dense_pairs(left: DataFrame, right: DataFrame, threshold: float = DENSE_THRE
             s = l[i : i + 2048] @ r.T
             if same:
                 s[lid[i : i + 2048, None] == ids[None, :]] = -2
-            a, b = np.nonzero(s >= threshold)
-            order = np.lexsort((ids[b] if r_type != "string" else ids[b].astype(str), -np.round(s[a, b], 12), a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else np.zeros(0, int)
-            a, b = a[rank < k], b[rank < k]
+            a, b = _nearest(s, threshold, k)  # ids are sorted
             out.append((lid[i : i + 2048][a], ids[b], s[a, b]))
         return pa.table({"l_id": pa.array(np.concatenate([x[0] for x in out]), ls["l_id"].type), "r_id": pa.array(np.concatenate([x[1] for x in out]), _arrow(r_type)), "similarity": pa.array(np.concatenate([x[2] for x in out]), pa.float64())})
 
@@ -353,11 +362,15 @@ def _arrow(kind: str) -> pa.DataType:
 def sparse_pairs(left: DataFrame, right: DataFrame, threshold: float = SPARSE_THRESHOLD, k: int = PER_PHRASE, same: bool = False) -> DataFrame:
     """(l_id, r_id, similarity) by cosine of sparse features; left, right: (id, idx, value), one row per feature.
 
-    An equi-join on the feature: exact for thresholds over 0, since pairs without a common feature have
-    similarity 0. Norms are summed beforehand.
+    Exact for thresholds over 0, since pairs without a common feature have similarity 0. A small right side is sent to
+    all tasks by feature, and a task sums the products of some left rows with all of it at a time, so a feature that
+    everything has makes no rows. A large one is joined on the feature.
     """
     if threshold <= 0:
         raise ValueError("pairs without common features have similarity 0; the threshold must be above it")
+    rights = right.where("value <> 0").groupBy("id", "idx").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    if is_small(rights.select("id", "idx"), rows=8 * MOST_ROWS):
+        return _sparse_sent(left, rights, threshold, k, same)
     norm = lambda df: df.groupBy("id").agg(F.sqrt(F.sum(F.col("value").cast("double") * F.col("value"))).alias("norm"))
     l = left.where("value <> 0").select(F.col("id").alias("l_id"), "idx", F.col("value").cast("double").alias("x"))
     r = right.where("value <> 0").select(F.col("id").alias("r_id"), "idx", F.col("value").cast("double").alias("y"))
@@ -370,6 +383,52 @@ def sparse_pairs(left: DataFrame, right: DataFrame, threshold: float = SPARSE_TH
     return sims.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _sparse_sent(left: DataFrame, rights: DataFrame, threshold: float, k: int, same: bool, cells: int = 4_000_000) -> DataFrame:
+    rows = rights.collect()  # checked to be small
+    ids = sorted({r["id"] for r in rows})
+    at = {x: i for i, x in enumerate(ids)}
+    rows.sort(key=lambda r: r["idx"])
+    data = (np.array([r["idx"] for r in rows], np.int64), np.array([at[r["id"]] for r in rows], np.int64), np.array([r["value"] for r in rows], float))
+    shared = left.sparkSession.sparkContext.broadcast((ids, *data))
+    l_type, r_type = dict(left.dtypes)["id"], dict(rights.dtypes)["id"]
+    feature = F.struct(F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    lists = left.where("value <> 0").groupBy("id").agg(F.collect_list(feature).alias("f"))  # the features of one vector
+
+    def run(batches):
+        ids, idx, title, value = shared.value
+        n = max(1, len(ids))
+        norm = np.sqrt(np.bincount(title, value * value, n))
+        step = max(1, cells // n)
+        for b in batches:
+            out = []
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                f, own = part.column("f"), part.column("id").to_pylist()
+                row = np.repeat(np.arange(len(f)), np.diff(f.offsets.to_numpy()))
+                flat = f.flatten()
+                key, x = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "value"))
+                start, end = np.searchsorted(idx, key), np.searchsorted(idx, key, "right")
+                scores = np.zeros(len(f) * n)
+                total = np.cumsum(end - start)
+                for a in range(0, len(key), size := max(1, int(cells * len(key) // max(1, total[-1] if len(total) else 1)))):
+                    many = (end - start)[a : a + size]
+                    to = np.repeat(start[a : a + size] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    cell = np.repeat(row[a : a + size], many) * n + title[to]
+                    scores += np.bincount(cell, np.repeat(x[a : a + size], many) * value[to], len(scores))
+                length = np.sqrt(np.bincount(row, x * x, len(f)))
+                s = scores.reshape(len(f), n) / np.maximum(length[:, None] * norm[None, :], 1e-300)
+                if same:
+                    for r, name in enumerate(own):
+                        j = bisect_left(ids, name)
+                        if j < len(ids) and ids[j] == name:
+                            s[r, j] = 0
+                r, t = _nearest(s, threshold, k)
+                out += [(own[p], ids[q], float(s[p, q])) for p, q in zip(r.tolist(), t.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((_arrow(l_type), _arrow(r_type), pa.float64()))], names=["l_id", "r_id", "similarity"])
+
+    return lists.mapInArrow(run, f"l_id {l_type}, r_id {r_type}, similarity double")
+
+
 def explanation(pairs: DataFrame, left: DataFrame, right: DataFrame, labels: DataFrame, top: int = 2) -> DataFrame:
     """pairs (l_id, r_id) with the `top` labelled features they share, by product: (idx, product, label)."""
     l = left.select(F.col("id").alias("l_id"), "idx", F.col("value").cast("double").alias("x"))
