@@ -30,7 +30,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by five-word shingles alike to 0.8."""
+    """Keeps the document with the smallest id of each group linked by five-word shingles alike to 0.8: those that
+    SimHash fingerprints within 3 bits bring together, by Golay keys, then what fingerprints miss; all checked exactly."""
     return simhash_dedup.keep_one_each(docs, width=5, similarity=0.8)
 
 

@@ -234,14 +234,18 @@ def near_links(fps: DataFrame, distance: int = 3, block: int = 8192) -> DataFram
     return dealt.mapInArrow(_linked(distance), "u long, v long")
 
 
+def rooted(classes: DataFrame, distance: int = 3) -> DataFrame:
+    """classes (one row per fingerprint, column fp) with root: the smallest fingerprint reachable by links."""
+    roots = components(near_links(classes, distance))
+    return classes.join(roots, classes.fp == roots.node, "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id (smallest id reachable; null ids lose to others) per row of docs."""
     rows = texts(docs, id_col, text_col)
     rows = work_table(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
     classes = work_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    roots = components(near_links(classes, distance))
-    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    grouped = work_table(grouped, "grouped")
+    grouped = work_table(rooted(classes, distance), "grouped")
     named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = work_table(grouped.join(named, "root").select("fp", "n", "component_id"), "named")
     discard(classes, grouped)
@@ -250,6 +254,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- grouping by shingle similarity -----------------------------------------------------------
 #
+# First come the links of fingerprints above: what they bring together is checked on whole texts. Texts that
+# are alike may still have fingerprints further apart, so a second search follows for what they miss; its
+# clusters that are one group already are not checked again.
+#
 # The search for pairs of sets alike to t is complete. Under any order of all shingles that is the same
 # for every set, two such sets share one of the first n - ceil(t n) + 1 shingles of each (prefix
 # filtering). At the first one they share, at places i and j, no more than 1 + min(n - i - 1, m - j - 1)
@@ -265,6 +273,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 SKETCH, WIDEST = 1024, 1 << 20
 #: One document in so many is sampled for common shingles; at most so many shingles are put last.
 SAMPLE, COMMON = 16, 1 << 16
+#: Words of a shingle of fingerprints here, as in simhash_components().
+PRINT_WIDTH = 3
 #: Bounds are loosened by this much against rounding.
 SLACK = 1e-6
 
@@ -335,8 +345,9 @@ def _signed(width: int, similarity: float, common: np.ndarray):
             sketches = [sketch(s).view(np.int64) for s in sets]
             wide = [wide_sketch(s).view(np.int64) if len(s) > SKETCH // 2 else None for s in sets]
             whole = [xxh3_128_intdigest(s.tobytes()) for s in sets]
+            fps = pa.array(np.array([fingerprint(t, PRINT_WIDTH) for t in b.column("text").to_pylist()], np.uint64).view(np.int64))
             h = [pa.array(np.array([x >> at & (1 << 64) - 1 for x in whole], np.uint64).view(np.int64)) for at in (0, 64)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int32()), *h, pa.array(keys, lists), pa.array(sketches, lists), pa.array(wide, lists)], names=["doc_id", "hash", "size", "h0", "h1", "keys", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int32()), *h, pa.array(keys, lists), pa.array(sketches, lists), pa.array(wide, lists), fps], names=["doc_id", "hash", "size", "h0", "h1", "keys", "sketch", "wide", "fp"])
 
     return run
 
@@ -563,6 +574,18 @@ def _candidate_links(live: DataFrame, similarity: float, key_block: int) -> Data
     return dealt.mapInArrow(_candidates(similarity), "u long, v long")
 
 
+def _print_clusters(live: DataFrame) -> DataFrame:
+    """(m_row, cluster) of the rows (row, fp) whose fingerprints are linked with those of others."""
+    rows = work_table(live.select("row", "fp"), "row_prints")
+    prints = work_table(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    grouped = work_table(rooted(prints), "grouped")
+    shared = grouped.groupBy("root").agg(F.min("first").alias("cluster"), F.sum("n").alias("rows")).where("rows > 1")
+    named = work_table(grouped.join(shared, "root").select("fp", "n", "cluster"), "named")
+    out = work_table(join_classes(rows, named, ["fp"], "n").select(F.col("row").alias("m_row"), "cluster"), "print_clusters")
+    discard(rows, prints, grouped, named)
+    return out
+
+
 def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int) -> DataFrame:
     """(node, root) of the members (m_row, cluster, m_id, m_hash, size) that are alike, by their whole texts.
 
@@ -601,20 +624,20 @@ def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float,
     return out
 
 
-def _refined(clustered: DataFrame, signed: DataFrame, similarity: float, block: int, volume: int) -> DataFrame:
-    """clustered (m_row, cluster) with clusters of more than two rows that hold a wide sketch parted into what wide
-    sketches leave alike. Large clusters meet in blocks of sketches, two by two."""
+def _refined(clustered: DataFrame, signed: DataFrame, similarity: float, block: int, volume: int, which: str = "wides > 0") -> DataFrame:
+    """clustered (m_row, cluster) with clusters of more than two rows parted into what wide sketches leave alike;
+    which: those to part, by default those that hold a wide sketch. Large clusters meet in blocks of sketches, two by two."""
     rows = clustered.join(signed.select("row", "size", "sketch", "wide"), F.col("m_row") == F.col("row"))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"), F.count("wide").alias("wides"))
     blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(32 * volume))).cast("int")
-    mixed_ = work_table(sizes.where("n > 2 and wides > 0").select("cluster", "n", blocks.alias("blocks")), "mixed")
+    mixed_ = work_table(sizes.where(f"n > 2 and {which}").select("cluster", "n", blocks.alias("blocks")), "mixed")
     if mixed_.isEmpty():
         return clustered
     met = join_classes(rows.select("m_row", "cluster", "size", F.coalesce("wide", "sketch").alias("sketch")), mixed_, ["cluster"], "n")
     dealt = met.select("cluster", _cells(F.col("blocks"), "m_row", 1).alias("cell"), F.col("m_row").alias("row"), "size", "sketch")
     links = dealt.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_parted(similarity), "u long, v long")
     parts = components(links).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
-    whole = join_classes(clustered, sizes.where("n <= 2 or wides = 0").select("cluster", "n"), ["cluster"], "n")
+    whole = join_classes(clustered, sizes.where(f"not (n > 2 and {which})").select("cluster", "n"), ["cluster"], "n")
     return whole.select("m_row", "cluster").unionByName(parts)
 
 
@@ -627,17 +650,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     body = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     common = common_shingles(body, width)
-    told = body.mapInArrow(_signed(width, similarity, common), "doc_id long, hash long, size int, h0 long, h1 long, keys array<long>, sketch array<long>, wide array<long>")
+    told = body.mapInArrow(_signed(width, similarity, common), "doc_id long, hash long, size int, h0 long, h1 long, keys array<long>, sketch array<long>, wide array<long>, fp long")
     signed = work_table(told.withColumn("row", F.monotonically_increasing_id()), "signed")
     classes = signed.groupBy("h0", "h1").agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     classes = work_table(classes, "classes")
     copies = work_table(join_classes(signed.select("row", "h0", "h1"), classes, ["h0", "h1"], "n").where("row <> kept").select("row", "kept"), "copies")
     live = signed.join(copies.select("row"), "row", "left_anti")
+
+    def checked(clustered: DataFrame) -> DataFrame:
+        members = clustered.join(signed.select("row", "doc_id", "hash", "size"), F.col("m_row") == F.col("row")).select("m_row", "cluster", F.col("doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "size")
+        members = work_table(members, "members")
+        out = _checked(body, members, width, similarity, block, volume)
+        discard(members)
+        return out
+
+    by_print = checked(_refined(_print_clusters(live), signed, similarity, block, volume, "true"))
     clustered = components(_candidate_links(live, similarity, key_block)).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
-    clustered = _refined(clustered, signed, similarity, block, volume)
-    members = clustered.join(signed.select("row", "doc_id", "hash", "size"), F.col("m_row") == F.col("row")).select("m_row", "cluster", F.col("doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "size")
-    members = work_table(members, "members")
-    found = _checked(body, members, width, similarity, block, volume)
+    clustered = work_table(_refined(clustered, signed, similarity, block, volume), "clustered")
+    known = clustered.join(by_print, F.col("m_row") == F.col("node"), "left").select("cluster", F.coalesce("root", "m_row").alias("part"))
+    parts = known.groupBy("cluster").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count(F.lit(1)).alias("n"))
+    parted = work_table(parts.where("least < most").select("cluster", "n"), "parted")
+    by_shingles = checked(join_classes(clustered, parted, ["cluster"], "n"))
+    found = components(by_print.unionByName(by_shingles), "node", "root")
     kept = classes.select("kept", "n").join(found, F.col("kept") == F.col("node"), "left").select("kept", "n", F.coalesce("root", "kept").alias("root"))
     kept = work_table(kept, "class_roots")
     alone = kept.where("root = kept").select(F.col("kept").alias("node"), "root")  # also in found if others are alike
@@ -647,7 +681,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "hash")).alias("f")
     first = work_table(named.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")).select("root", "n", F.col("f.doc_id").alias("first_id"), F.col("f.hash").alias("first_hash"), F.col("f.row").alias("first_row")), "firsts")
     out = work_table(join_classes(named, first, ["root"], "n").drop("root"), "groups")
-    discard(signed, classes, copies, members, kept, named, first)
+    discard(signed, classes, copies, clustered, parted, by_print, by_shingles, kept, named, first)
     return out
 
 

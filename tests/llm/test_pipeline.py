@@ -77,3 +77,28 @@ def test_rows_equal_brute_force(spark, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "pii_surrogates", "best_fit_packing"]
     assert tx.THRESHOLD == 0.3
+
+
+def test_near_dedup_goes_through_fingerprints(spark, monkeypatch):
+    """What fingerprints within 3 bits bring together is found without the second search, and stays only if whole texts are alike."""
+    import random
+
+    from linkloom.llm import simhash_dedup as sd
+
+    g = random.Random(12)
+    rows, near = [], {}
+    for n in range(40):
+        w = [f"w{g.randrange(5000)}" for _ in range(500)]
+        copy = [*w[:-1], "other"]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(copy))]
+        near[2 * n + 1] = (sd.fingerprint(rows[-2][1]) ^ sd.fingerprint(rows[-1][1])).bit_count() <= 3
+    line = "one common line " * 300
+    rows += [(100 + n, line + " ".join(f"tail{n}x{i}" for i in range(40))) for n in range(3)]
+    assert len({sd.fingerprint(t) for i, t in rows if i >= 100}) == 1 and sum(near.values()) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    checks, check = [], sd._checked
+    monkeypatch.setattr(sd, "_checked", lambda body, members, *more: checks.append({r.m_id for r in members.collect()}) or check(body, members, *more))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()} == {i for i, _ in rows if i >= 100 or i % 2 == 0}
+    assert checks[1] == {i for b, found in near.items() if not found for i in (b - 1, b)}  # what is one group isn't checked again
+    monkeypatch.setattr(sd, "_candidate_links", lambda live, *_: live.select(live.row.alias("u"), live.row.alias("v")))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()} == {i for i, _ in rows if not near.get(i)}
