@@ -275,6 +275,8 @@ SKETCH, WIDEST = 1024, 1 << 20
 SAMPLE, COMMON = 16, 1 << 16
 #: Words of a shingle of fingerprints here, as in simhash_components().
 PRINT_WIDTH = 3
+#: Words of 64 bits, a power of two, of the filter of rows whose texts are checked; more rows fill it up, they never get lost.
+FILTER = 1 << 18
 #: Bounds are loosened by this much against rounding.
 SLACK = 1e-6
 
@@ -586,6 +588,16 @@ def _print_clusters(live: DataFrame) -> DataFrame:
     return out
 
 
+def _narrowed(body: DataFrame, rows: DataFrame) -> DataFrame:
+    """body without most of the texts whose hash is not among m_hash of rows: a filter of one bit a hash is sent
+    to the texts, so that they needn't be shuffled to be found."""
+    word, bit = (lambda h: F.pmod(h, F.lit(FILTER))), (lambda h: F.shiftrightunsigned(h, 58))
+    held = rows.select(word(F.col("m_hash")).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(m_hash, 58) as int))").alias("bit"))
+    held = held.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    on = (word(F.col("hash")) == held.word) & (F.call_function("getbit", held.bits, bit(F.col("hash")).cast("int")) == 1)
+    return body.join(F.broadcast(held), on, "left_semi")
+
+
 def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int) -> DataFrame:
     """(node, root) of the members (m_row, cluster, m_id, m_hash, size) that are alike, by their whole texts.
 
@@ -594,8 +606,9 @@ def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float,
     that a task holds while the members stream by. So every link has an end in the rest, or both of its ends
     are like the pivot.
     """
-    on = body.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
-    told = lambda rows, *keys: body.join(rows, on).select(*keys, "role", "m_row", "text").repartition(*keys).sortWithinPartitions(*keys, "role", "m_row")
+    near = _narrowed(body, members)
+    on = near.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
+    told = lambda rows, *keys: near.join(rows, on).select(*keys, "role", "m_row", "text").repartition(*keys).sortWithinPartitions(*keys, "role", "m_row")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("m_row"), F.col(n)).cast("int")
     sizes = members.groupBy("cluster").agg(F.min("m_row").alias("pivot"), F.count(F.lit(1)).alias("n"))

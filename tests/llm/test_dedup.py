@@ -245,3 +245,23 @@ def test_bucket_keys_dont_depend_on_the_batch():
     x = np.random.default_rng(0).standard_normal((200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert (ed.bucket_keys(x, 6, 10) == np.concatenate([ed.bucket_keys(x[i : i + 7], 6, 10) for i in range(0, 200, 7)])).all()
+
+
+def test_near_dedup_leaves_texts_of_other_rows_in_place(spark):
+    """No exchange holds whole texts but those of the few rows that are checked, though no table is small enough to be sent."""
+    g = random.Random(13)
+    rows = [(n, " ".join("".join(g.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(150))) for n in range(200)]
+    rows += [(1000, rows[7][1] + " end"), (1001, rows[8][1] + " end")]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    written = lambda: {(x := stages.apply(i)).stageId(): x.shuffleWriteBytes() for stages in [store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())] for i in range(stages.size())}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before = written()
+    try:
+        got = {r.node: r.root for r in sd.similar_components(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {7: 7, 1000: 7, 8: 8, 1001: 8}
+    sizes = [n for k, n in written().items() if k not in before]
+    assert 10_000 < max(sizes) < 0.4 * sum(len(t) for _, t in rows)
