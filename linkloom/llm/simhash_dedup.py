@@ -254,9 +254,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- grouping by shingle similarity -----------------------------------------------------------
 #
-# First come the links of fingerprints above: what they bring together is checked on whole texts. Texts that
-# are alike may still have fingerprints further apart, so a second search follows for what they miss; its
-# clusters that are one group already are not checked again.
+# First come the links of fingerprints above: what they bring together is compared with one row of it, on whole
+# texts. One line that is repeated can give any number of unlike texts one fingerprint, so no more than that is
+# compared here. Texts that are alike may have fingerprints further apart, too. A second search follows for all that
+# this leaves; its clusters that are one group already are not checked again.
 #
 # The search for pairs of sets alike to t is complete. Under any order of all shingles that is the same
 # for every set, two such sets share one of the first n - ceil(t n) + 1 shingles of each (prefix
@@ -598,13 +599,13 @@ def _narrowed(body: DataFrame, rows: DataFrame) -> DataFrame:
     return body.join(F.broadcast(held), on, "left_semi")
 
 
-def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int) -> DataFrame:
+def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float, block: int, volume: int, rest: bool = True) -> DataFrame:
     """(node, root) of the members (m_row, cluster, m_id, m_hash, size) that are alike, by their whole texts.
 
     A cluster's members are compared with one of them, the pivot, which sends every text once; those like it are
     one group. The rest meets all members of its cluster, in blocks of about `block` rows or `volume` shingles
     that a task holds while the members stream by. So every link has an end in the rest, or both of its ends
-    are like the pivot.
+    are like the pivot. Without rest, only the pivots' links are found, for a work in proportion to the members.
     """
     near = _narrowed(body, members)
     on = near.doc_id.eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash"))
@@ -617,12 +618,16 @@ def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float,
     placed = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(one("cells")))).alias("cell")
     dealt = work_table(rows.select("cluster", "m_row", "m_id", "m_hash", "role", placed), "dealt")
     links = work_table(told(dealt, "cluster", "cell").mapInArrow(_to_pivot(width, similarity), "u long, v long"), "to_pivot")
+    discard(dealt)
+    if not rest:
+        out = components(links)
+        discard(sizes, links)
+        return out
     done = links.select(F.col("v").alias("m_row")).unionByName(sizes.select(F.col("pivot").alias("m_row")))
     left = work_table(members.join(done, "m_row", "left_anti"), "left")
-    discard(dealt)
-    rest = left.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"), F.sum(F.col("size").cast("long")).alias("shingles"))
+    others = left.groupBy("cluster").agg(F.count(F.lit(1)).alias("left"), F.sum(F.col("size").cast("long")).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("left") / F.lit(block), F.col("shingles") / F.lit(volume))).cast("int")
-    plan = sizes.select("cluster", "n", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("cells")).join(rest.select("cluster", blocks.alias("blocks")), "cluster")
+    plan = sizes.select("cluster", "n", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("cells")).join(others.select("cluster", blocks.alias("blocks")), "cluster")
     plan = work_table(plan, "plan")
     tables = [links]
     if not plan.isEmpty():
@@ -637,20 +642,20 @@ def _checked(body: DataFrame, members: DataFrame, width: int, similarity: float,
     return out
 
 
-def _refined(clustered: DataFrame, signed: DataFrame, similarity: float, block: int, volume: int, which: str = "wides > 0") -> DataFrame:
-    """clustered (m_row, cluster) with clusters of more than two rows parted into what wide sketches leave alike;
-    which: those to part, by default those that hold a wide sketch. Large clusters meet in blocks of sketches, two by two."""
+def _refined(clustered: DataFrame, signed: DataFrame, similarity: float, block: int, volume: int) -> DataFrame:
+    """clustered (m_row, cluster) with clusters of more than two rows that hold a wide sketch parted into what wide
+    sketches leave alike. Large clusters meet in blocks of sketches, two by two."""
     rows = clustered.join(signed.select("row", "size", "sketch", "wide"), F.col("m_row") == F.col("row"))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"), F.count("wide").alias("wides"))
     blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("shingles") / F.lit(32 * volume))).cast("int")
-    mixed_ = work_table(sizes.where(f"n > 2 and {which}").select("cluster", "n", blocks.alias("blocks")), "mixed")
+    mixed_ = work_table(sizes.where("n > 2 and wides > 0").select("cluster", "n", blocks.alias("blocks")), "mixed")
     if mixed_.isEmpty():
         return clustered
     met = join_classes(rows.select("m_row", "cluster", "size", F.coalesce("wide", "sketch").alias("sketch")), mixed_, ["cluster"], "n")
     dealt = met.select("cluster", _cells(F.col("blocks"), "m_row", 1).alias("cell"), F.col("m_row").alias("row"), "size", "sketch")
     links = dealt.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell").mapInArrow(_parted(similarity), "u long, v long")
     parts = components(links).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
-    whole = join_classes(clustered, sizes.where(f"not (n > 2 and {which})").select("cluster", "n"), ["cluster"], "n")
+    whole = join_classes(clustered, sizes.where("n <= 2 or wides = 0").select("cluster", "n"), ["cluster"], "n")
     return whole.select("m_row", "cluster").unionByName(parts)
 
 
@@ -670,14 +675,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = work_table(join_classes(signed.select("row", "h0", "h1"), classes, ["h0", "h1"], "n").where("row <> kept").select("row", "kept"), "copies")
     live = signed.join(copies.select("row"), "row", "left_anti")
 
-    def checked(clustered: DataFrame) -> DataFrame:
+    def checked(clustered: DataFrame, rest: bool = True) -> DataFrame:
         members = clustered.join(signed.select("row", "doc_id", "hash", "size"), F.col("m_row") == F.col("row")).select("m_row", "cluster", F.col("doc_id").alias("m_id"), F.col("hash").alias("m_hash"), "size")
         members = work_table(members, "members")
-        out = _checked(body, members, width, similarity, block, volume)
+        out = _checked(body, members, width, similarity, block, volume, rest)
         discard(members)
         return out
 
-    by_print = checked(_refined(_print_clusters(live), signed, similarity, block, volume, "true"))
+    by_print = checked(_print_clusters(live), rest=False)
     clustered = components(_candidate_links(live, similarity, key_block)).select(F.col("node").alias("m_row"), F.col("root").alias("cluster"))
     clustered = work_table(_refined(clustered, signed, similarity, block, volume), "clustered")
     known = clustered.join(by_print, F.col("m_row") == F.col("node"), "left").select("cluster", F.coalesce("root", "m_row").alias("part"))

@@ -265,3 +265,12 @@ def test_near_dedup_leaves_texts_of_other_rows_in_place(spark):
     assert got == {7: 7, 1000: 7, 8: 8, 1001: 8}
     sizes = [n for k, n in written().items() if k not in before]
     assert 10_000 < max(sizes) < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_unlike_texts_of_one_fingerprint_meet_one_row_only(spark, monkeypatch):
+    line = "one common line " * 300
+    rows = [(n, line + " ".join(f"tail{n}x{i}" for i in range(40))) for n in range(30)] + [(90, line + " ".join(f"tail0x{i}" for i in range(44)))]
+    assert len({sd.fingerprint(t) for _, t in rows}) == 1
+    monkeypatch.setattr(sd, "_parted", None)
+    monkeypatch.setattr(sd, "_to_rest", None)
+    assert {r.node: r.root for r in sd.similar_components(docs(spark, rows)).collect()} == {0: 0, 90: 0}
