@@ -127,6 +127,46 @@ def test_dense_join_equals_brute_force(spark, block):
     assert {(a.l_id, a.r_id) for a in resolve.dense_pairs(df(l), df(r), 0.3, 3, block).collect()} == want
 
 
+def test_best_equals_sorting_with_ties_and_own_columns():
+    g = np.random.default_rng(1)
+    v = g.standard_normal((300, 5))
+    v[50:120] = v[7]  # copies: ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.einsum("id,jd->ij", v, v)
+    own = (np.arange(300), np.arange(300) + 1)
+    for k, threshold in ((1, -1.0), (3, 0.4), (400, 0.9)):
+        want = []
+        for i in range(300):
+            js = [j for j in np.lexsort((np.arange(300), -np.round(s[i], 12))) if j != i and s[i, j] >= threshold][:k]
+            want += [(i, j) for j in js]
+        one = lambda a, z, c, y: v[a:z].astype(np.float32) @ v[c:y].astype(np.float32).T
+        i, j, x = resolve._best(300, 300, k, threshold, 1e-5, one, lambda i, j, _: s[i, j], own, rows=64, columns=40)
+        assert list(zip(i.tolist(), j.tolist())) == want and np.array_equal(x, s[i, j])
+        i, j, _ = resolve._cosines(v, v, threshold, k, own)
+        assert list(zip(i.tolist(), j.tolist())) == want
+
+
+@pytest.mark.parametrize("features,block", [(20, 11), (20, 1000), (1 << 22, 11), (1 << 22, 1000)])
+def test_sparse_join_sends_no_pairs_and_equals_brute_force(spark, features, block):
+    """Pairs that share a feature aren't joined as rows; groups meet, by matrices or by feature."""
+    g = random.Random(7)
+    names = [i * 999 for i in range(20)]
+    each = {i: {f: g.choice([0.5, 1.0, 2.0]) for f in g.sample(names, 3)} for i in range(60)}
+    each |= {60 + i: dict(each[i]) for i in range(5)}
+    wide = {1000 + i: float(i + 1) for i in range(features // 20 if features > 20 else 0)}  # makes the matrix too large
+    rows = [(i, f, x) for i, v in each.items() for f, x in v.items()] + [(99, f, x) for f, x in wide.items()]
+    length = lambda v: sum(x * x for x in v.values()) ** 0.5
+    want = {}
+    for i, a in each.items():
+        sims = [(-round(sum(x * b.get(f, 0) for f, x in a.items()) / length(a) / length(b), 12), j) for j, b in each.items() if j != i]
+        want |= {(i, j): -s for s, j in sorted(sims)[:3] if -s >= 0.3}
+    f = spark.createDataFrame(rows, "id long, idx int, value double")
+    found = resolve.sparse_pairs(f, f, 0.3, 3, same=True, block=block)
+    assert "_b" in str(found._jdf.queryExecution().optimizedPlan()) and "Join" not in str(found._jdf.queryExecution().optimizedPlan())
+    got = {(r.l_id, r.r_id): r.similarity for r in found.collect() if 99 not in (r.l_id, r.r_id)}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
 def test_sparse_join_and_explanation(spark):
     rows = [("a", 0, 2.0), ("a", 3, 3.0), ("b", 3, 4.0), ("c", 5, 1.0)]
     f = spark.createDataFrame(rows, "id string, idx int, value double")
