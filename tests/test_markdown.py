@@ -57,3 +57,16 @@ def test_spark_forms(spark):
     rows = {(r.note_id, r.sent_idx): [t["lower"] for t in r.tokens] for r in md.note_sentences(notes).collect()}
     assert rows == {(1, 0): ["a"], (1, 1): ["plain", "text", "here"], (1, 2): ["more"]}
     assert [r[0] for r in notes.select(md.strip_column("content")).collect()] == ["A\n\nplain text here. More", None, ""]
+
+
+def test_sentences_come_in_slices_and_boosts_equal_the_single_ones(spark):
+    """A batch of many notes isn't held as objects; tokens of long notes are weighed range by range."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 40, None, "b" * 40, "c" * 500, "", "d"])], names=["text"])
+    cut = list(md.text_slices([batch, batch.slice(0, 0)], limit=80))
+    assert [b.num_rows for b in cut] == [3, 1, 2] and pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
+    text = "# A **b c** d\ne **f** g\n## h **i\nj** [[k|l m]] **n**"
+    ranges = md.structural_ranges(text)
+    for _, words, starts, ends, boosts in md.weighed_words(text):
+        assert boosts == [md.boost_of(a, z, ranges) for a, z in zip(starts, ends)] and len(set(boosts)) > 2
