@@ -100,6 +100,41 @@ def test_spans_and_mentions(spark):
     assert {(r.title, r.at) for r in spans.title_mentions(text, titles).collect()} == {("Data Lake", 2), ("lake", 7), ("C++", 13)}
 
 
+def test_spans_leave_their_task_as_few_rows(spark):
+    """The shortest ones, those that are titles and summaries are made where the note is: no sort or shuffle of all."""
+    rows = [(1, "The big data lake. Big data of a x"), (2, None), (3, ""), (4, "Data LAKE data lake's")]
+    notes = spark.createDataFrame(rows, "note_id int, text string")
+    every = spans.span_phrases(notes, max_n=2)
+    some = spans.span_phrases(notes, max_n=2, shortest=3)
+    assert some.groupBy("note_id").count().orderBy("note_id").collect() == [(1, 3), (4, 3)]
+    rank = lambda df: {tuple(r) for r in spans.embed_cap(df, 3).select("note_id", "phrase", "place").collect()}
+    assert rank(some) == rank(every)
+    only = spans.span_phrases(notes, max_n=2, only=spark.createDataFrame([("Data Lake",), ("of a",), (None,)], "t string"))
+    assert {(r.note_id, r.phrase) for r in only.collect()} == {(1, "data lake"), (4, "Data LAKE")}
+    total = every.groupBy("note_id").agg(F.count(F.lit(1)), F.sum(F.length("phrase")), F.min("phrase"), F.max("phrase"))
+    got = spans.span_summary(notes.unionByName(notes.where("note_id = 9")), max_n=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, total.collect()))
+    grams = spans.ngrams(plain_sentences(notes, "note_id"), 3).withColumn("t", F.array_join(F.transform("words", lambda w: w["lower"]), " "))
+    want = grams.groupBy("note_id", "n").agg(F.count(F.lit(1)), F.sum(F.length("t")), F.min("t"), F.max("t"))
+    assert sorted(map(tuple, spans.window_summary(notes, max_n=3, markdown=False).collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in _plan(got) and "Join" not in _plan(only)
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_few_titles_are_looked_up_note_by_note(spark, sent, monkeypatch):
+    real = spans.is_small
+    monkeypatch.setattr(spans, "is_small", lambda df: sent and real(df))
+    titles = spark.createDataFrame([("Data Lake",), ("lake",), ("C++",), ("ake",), ("x",), ("été",), ("a b c d",), ("++",), (None,)], "title string")
+    text = spark.createDataFrame([(1, "a data lake, c++ code"), (2, None), (3, "ÉTÉ été A b C d. ++ data-lake lakes"), (4, "")], "note_id int, text string")
+    found = spans.title_mentions(text, titles, max_words=3)
+    assert ("Join" in _plan(found)) != sent
+    want = {(1, "Data Lake", 2), (1, "lake", 7), (1, "C++", 13), (1, "++", 14), (3, "été", 4), (3, "a b c d", 8), (3, "++", 17), (3, "lake", 25)}
+    got = {(r.note_id, r.title, r.at) for r in found.collect()}
+    assert got - {(1, "++", 14)} == want - {(1, "++", 14)}
+    have = spark.createDataFrame([(1, "LAKE")], "note_id int, phrase string")
+    assert {r.phrase for r in spans.new_mentions(found.where("note_id = 1 and title <> '++'"), have).collect()} == {"Data Lake", "C++"}
+
+
 def brute_h(text_sents):
     from collections import defaultdict
 
