@@ -298,6 +298,24 @@ def test_discover(spark):
     assert got[("data lakes", "Data Lake")] == "deterministic" and ("Kafka streams", "Kafka Streams") in got
 
 
+def test_every_phrase_without_a_strong_match_is_embedded(spark):
+    """Also those beyond the 60 shortest of a note."""
+    notes = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)) + " extraordinarily")], "note_id long, text string")
+    titles = spark.createDataFrame([("Target", 0)], "title string, ord int")
+    embedder = lambda texts: np.array([[1.0, 0.0] if t in ("extraordinarily", "Target") else [0.0, 1.0] for t in texts])
+    assert [(r.phrase, r.target, r.match_type) for r in discover_links(notes, titles, embedder, max_n=1).collect()] == [("extraordinarily", "Target", "stochastic")]
+
+
+@given(st.lists(st.text(" aBz\u00e9\U0001f600", max_size=20), max_size=5))
+def test_hash_embedder_adds_codes_round_the_dimensions(texts):
+    want = np.zeros((len(texts), 3))
+    for row, t in zip(want, texts):
+        for i, c in enumerate(t.strip().lower()):
+            row[i % 3] += ord(c)
+    n = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.array_equal(embed.hash_embedder(3)(texts), np.divide(want, n, out=want, where=n > 0))
+
+
 VAULT = {
     "Data Lake": "---\ntags: x\n---\n# Data Lake\n\nA store for raw data. It feeds a [[Data Warehouse]] and [[Stream Processing]].\n%% wiki footer\n[[Graph Theory]]",
     "Data Warehouse": "# Data Warehouse\n\nTables for reports, loaded from a [[Data Lake]] by [[Batch Processing|nightly jobs]]. See [[Star Schema#facts]].",
