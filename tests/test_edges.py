@@ -82,6 +82,32 @@ def test_title_index_equals_all_pairs():
     assert resolve.TitleIndex([], 0.85).match(["a"]) == []
 
 
+def test_many_titles_make_no_rows_of_pairs(spark):
+    """More titles than used to be sent are compared where phrases are: all share a word with the phrase."""
+    titles = spark.range(60_000).select(F.concat(F.lit("the "), F.hex(F.col("id") * 7919)).alias("title"), F.col("id").cast("int").alias("ord"))
+    phrases = spark.createDataFrame([(1, "x", "the ABCDEF99", 0.0)], "note_id int, source_name string, phrase string, score double")
+    found = resolve.resolve_lcs(phrases, titles)
+    assert "Join" not in str(found._jdf.queryExecution().optimizedPlan())
+    assert all(r.similarity >= 0.85 for r in found.collect())
+
+
+@given(st.text(st.characters(max_codepoint=127, exclude_characters="\0"), max_size=30))
+def test_ascii_is_normalized_alike(text):
+    import re
+
+    low = re.sub(r"[ \t\n\x0b\f\r]+", " ", text.lower())
+    assert resolve._plain(text) == re.sub(r"'s(?![a-z0-9_])", "", low).strip(" ")
+
+
+def test_tasks_normalize_ascii_themselves(spark):
+    texts = ["A  b\t's", "Spark's lake's", "it's_x 's", " \x1c Data\x0bLake ", "Caf\u00e9's", "l\u2019art's", "", " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    from linkloom.functions.text import normalize
+
+    for r in rows.select("t", normalize(F.col("t")).alias("n"), resolve._unless_ascii(F.col("t")).alias("u")).collect():
+        assert r.n == (resolve._plain(r.t) if r.u is None else r.u) and (r.u is None) == r.t.isascii()
+
+
 def test_resumed_embedding(spark, tmp_path):
     root, calls = str(tmp_path / "e"), spark.sparkContext.accumulator(0)
 

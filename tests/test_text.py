@@ -123,7 +123,7 @@ def test_spans_leave_their_task_as_few_rows(spark):
 @pytest.mark.parametrize("sent", [True, False])
 def test_few_titles_are_looked_up_note_by_note(spark, sent, monkeypatch):
     real = spans.is_small
-    monkeypatch.setattr(spans, "is_small", lambda df: sent and real(df))
+    monkeypatch.setattr(spans, "is_small", lambda df, *most: sent and real(df, *most))
     titles = spark.createDataFrame([("Data Lake",), ("lake",), ("C++",), ("ake",), ("x",), ("été",), ("a b c d",), ("++",), (None,)], "title string")
     text = spark.createDataFrame([(1, "a data lake, c++ code"), (2, None), (3, "ÉTÉ été A b C d. ++ data-lake lakes"), (4, "")], "note_id int, text string")
     found = spans.title_mentions(text, titles, max_words=3)
